@@ -77,3 +77,8 @@ def require(df: DataFrame, *columns: str) -> None:
 def md5_long(*columns: Column | str) -> Column:
     """A 60-bit hash of the columns' texts that any SQL engine with md5 can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("long")
+
+
+def token_count(text: Column) -> Column:
+    """Tokens of a text, taken as its runs of anything but ASCII blanks; 0 for NULL."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit("[^ \\t\\n\\r\\f]+")), F.lit(0)).cast("long")
