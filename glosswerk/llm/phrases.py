@@ -1,7 +1,8 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A document's UTF-8 bytes are parsed as in LZ78: each phrase is the shortest run of bytes that isn't
-a phrase yet.  The set of its phrases is hashed, and its minimum-hash signature holds the least hash
+A document's words are parsed as in LZ78: each phrase is the shortest run of words that isn't a
+phrase yet.  (Over bytes the parse takes long to find back after an edit, and near copies of short
+documents look unlike.)  The set of its phrases is hashed, and its minimum-hash signature holds the least hash
 of each of ``BINS`` bins, a byte of it.  The share of bins in which two signatures agree estimates
 the Jaccard similarity of the phrase sets, a measure of how well one text helps to compress the
 other (Lempel-Ziv Jaccard distance).
@@ -15,56 +16,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, require, slices, stored
+from .common import cut, require, slices, stored, words
 from .components import components
 
 BINS, ROWS, LEAST = 64, 4, 0.65
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = 1 << 16
+_MIX = 0x9E3779B97F4A7C15
 
 
-def parse(data: bytes) -> list[int]:
-    """Where each phrase ends; a rest that is a phrase already isn't one more."""
+def parse(tokens: list[bytes]) -> set[bytes]:
+    """The phrases, their words parted by blanks; a rest that is a phrase already isn't one more."""
     seen: set[bytes] = set()
-    add, ends, start = seen.add, [], 0
-    for end in range(1, len(data) + 1):
-        phrase = data[start:end]
+    add, phrase = seen.add, b""
+    for word in tokens:
+        phrase = phrase + b" " + word if phrase else word
         if phrase not in seen:
             add(phrase)
-            ends.append(end)
-            start = end
-    return ends
-
-
-class _Powers:
-    """Powers of the base and of its inverse, by position."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int):
-        if len(self.up) <= n:
-            size = max(n + 1, _STEP)
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64))])
-            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _INVERSE, np.uint64))])
-        return self.up, self.down
-
-
-def phrase_hashes(data: bytes, ends: list[int], powers: _Powers) -> np.ndarray:
-    """A 64-bit hash of each phrase, the same wherever it stands."""
-    up, down = powers.upto(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    to = np.array(ends, np.int64)
-    since = np.concatenate([[0], to[:-1]])
-    h = (sums[to] - sums[since]) * down[since]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h
+            phrase = b""
+    return seen
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -77,23 +49,21 @@ def signature(hashes: np.ndarray) -> bytes:
         source = full[np.searchsorted(full, np.arange(BINS)) % len(full)]
         far = (np.arange(BINS) != source).astype(np.uint64)
         least = least[source] + far * (np.arange(BINS, dtype=np.uint64) - source.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((least * np.uint64(_BASE)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return ((least * np.uint64(_MIX)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _signatures(batches):
-    powers = _Powers()
-    for batch in slices(batches, 128):
+    for batch in slices(batches):
         count, found = [], []
         for text in batch.column(1).to_pylist():
-            data = text.encode("utf-8", "surrogatepass") if text else b""
-            ends = parse(data)
-            count.append(len(ends))
-            found.append(signature(phrase_hashes(data, ends, powers)) if ends else None)
+            own = parse(words(text))
+            count.append(len(own))
+            found.append(signature(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))) if own else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "phrases", "signature"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, phrases, signature)`` for each row; NULL and empty texts have no phrases and a NULL signature."""
+    """``(doc_id, phrases, signature)`` for each row; NULL, empty and wordless texts have no phrases and a NULL signature."""
     require(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(_signatures, "doc_id long, phrases long, signature binary")
@@ -153,8 +123,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, phrases, fingerprint, group_id, similarity)`` for each distinct document id and signature.
 
     ``fingerprint`` is the signature in hexadecimal; ``group_id`` is the least doc_id of the
-    documents linked by similar signatures, and ``similarity`` the estimate for the two.  NULL and
-    empty texts have a NULL fingerprint and are their own group with a NULL similarity; so are rows
+    documents linked by similar signatures, and ``similarity`` the estimate for the two.  NULL,
+    empty and wordless texts have a NULL fingerprint and are their own group with a NULL similarity; so are rows
     with a NULL id, whose group is NULL.  Repeated rows give one row.  Of an id with several texts
     each is placed.  Other columns are ignored, whatever their names.
     """
