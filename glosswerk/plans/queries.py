@@ -111,10 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corpus_report_standard": lambda s, d: _corpus(b(s, d), "standard"),
         "metrics_per_row_normalized": lambda s, d: _per_row(b(s, d), "normalized"),
         "metrics_per_row_standard": lambda s, d: _per_row(b(s, d), "standard"),
-        "wer_per_row_normalized": lambda s, d: _wer(t(s, d), "normalized"),
-        "wer_per_row_standard": lambda s, d: _wer(t(s, d), "standard"),
-        "corpus_wer_normalized": lambda s, d: _corpus_wer(t(s, d), "normalized"),
-        "corpus_wer_standard": lambda s, d: _corpus_wer(t(s, d), "standard"),
+        "wer_per_row_normalized": lambda s, d: _wer(b(s, d), "normalized"),
+        "wer_per_row_standard": lambda s, d: _wer(b(s, d), "standard"),
+        "corpus_wer_normalized": lambda s, d: _corpus_wer(b(s, d), "normalized"),
+        "corpus_wer_standard": lambda s, d: _corpus_wer(b(s, d), "standard"),
         "corpus_report_turns": lambda s, d: _corpus(t(s, d), "normalized"),
         "perfect_sentences": lambda s, d: t(s, d).agg(F.count("*").alias("utterances"), F.sum((text.cer_text(F.col("reference")) == text.cer_text(F.col("hypothesis"))).cast("long")).alias("perfect_sentences")),
         "alignment_words": lambda s, d: _alignment(b(s, d), "word"),
@@ -195,7 +195,7 @@ def _rate_sql(mode: str, pick=lambda c: c) -> str:
 
 
 def _wer_sql(mode: str) -> str:
-    return f"WITH RECURSIVE {_TURNS}, {_dp('w', _words)} SELECT *, {_rate_sql(mode)} AS wer FROM w"
+    return f"WITH RECURSIVE {_ITEMS}, {_dp('w', _words)} SELECT *, {_rate_sql(mode)} AS wer FROM w"
 
 
 def _sums_sql(name: str, mode: str, out: str) -> str:
@@ -279,7 +279,7 @@ SELECT *, (row_number() OVER (PARTITION BY type ORDER BY count DESC, reference,
         "metrics_per_row_standard": _rows_sql("standard"),
         "wer_per_row_normalized": _wer_sql("normalized"),
         "wer_per_row_standard": _wer_sql("standard"),
-        **{f"corpus_wer_{m}": f"WITH RECURSIVE {_TURNS}, {_dp('w', _words)} SELECT count(*) AS utterances, {_sums_sql('w', m, 'wer')} FROM w" for m in ("normalized", "standard")},
+        **{f"corpus_wer_{m}": f"WITH RECURSIVE {_ITEMS}, {_dp('w', _words)} SELECT count(*) AS utterances, {_sums_sql('w', m, 'wer')} FROM w" for m in ("normalized", "standard")},
         "perfect_sentences": f"WITH {_TURNS} SELECT count(*) AS utterances, sum(({_bare('reference')} = {_bare('hypothesis')})::INT)::BIGINT AS perfect_sentences FROM pairs",
         "alignment_words": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_words)} SELECT * FROM edits",
         "error_frequencies_words": frequencies,
