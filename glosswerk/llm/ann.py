@@ -5,9 +5,13 @@ centroid, a byte for each of ``m`` subspaces.  A query probes the lists of its n
 its distances to a list's members come from a table of its residual's distances to the code words,
 and the best of them are reranked by exact distance.  Every vector is a query.
 
+How many lists a query probes is measured, not set: true neighbours of ``sample`` vectors are found
+by comparing them with all others, and as many lists are probed as hold the share ``recall`` of them.
+
 Centroids and code words are trained by Lloyd's iterations over all vectors, as partial sums by
 partition.  Their numbers follow from the number of vectors: there are about the square root of it
-lists.  Lists of more than ``chunk`` members are split and their queries go to each part.
+lists.  Lists are grouped to ``chunk`` members, larger ones are split, and a query goes to each group
+that holds one of its lists, once; no more than ``_SLICE`` queries or so meet a group at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import require, stored
 
-K, PROBES, RERANK, CHUNK = 10, 0.25, 16, 4096
+K, RECALL, RERANK, CHUNK = 10, 0.97, 16, 4096
+
+_SLICE = 65_536
 
 
 def _matrix(column) -> np.ndarray:
@@ -75,47 +81,119 @@ def train(vectors: DataFrame, n: int, dim: int, lists: int, m: int, rounds: int)
     return coarse, words.astype(np.float32)
 
 
-def _assigned(batches, coarse, words, probes):
+def _assigned(batches, coarse, words):
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch.column(1))
-        far = distances(x, coarse)
-        order = np.argsort(far, 1, kind="stable")[:, :probes].astype(np.int32)
-        rest = np.split(x - coarse[order[:, 0]], len(words), 1)
+        home = distances(x, coarse).argmin(1).astype(np.int32)
+        rest = np.split(x - coarse[home], len(words), 1)
         codes = np.stack([distances(r, w).argmin(1) for r, w in zip(rest, words)], 1).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary())],
-            ["vec_id", "embedding", "home", "probed", "code"],
+            [batch.column(0), batch.column(1), pa.array(home), pa.array([c.tobytes() for c in codes], pa.binary())],
+            ["vec_id", "embedding", "home", "code"],
         )
 
 
+def _asked(batches, coarse, probed: int, groups: list[list[int]]):
+    """(grp, query_id, query, lists): a query at each group that holds lists it probes, with these."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            some = batch.slice(lo, 4096)
+            order = np.argsort(distances(_matrix(some.column(1)), coarse), 1, kind="stable")[:, :probed]
+            asks = np.zeros((some.num_rows, len(coarse)), bool)
+            np.put_along_axis(asks, order, True, 1)
+            for g, own in enumerate(groups):
+                at = np.flatnonzero(asks[:, own].any(1))
+                row, col = np.nonzero(asks[np.ix_(at, own)])
+                ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(own, np.int32)[col]))
+                picked = some.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), picked.column(0), picked.column(1), lists], ["grp", "query_id", "query", "lists"])
+
+
+def _nearest(row, ids, d, k: int) -> np.ndarray:
+    """Places of the k least distances of each row; ties go to the lesser id."""
+    order = np.lexsort((ids, d, row))
+    own = row[order]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    rank = np.arange(len(own)) - np.repeat(start, np.diff(np.r_[start, len(own)]))
+    return order[rank < k]
+
+
+def probes_for(coded: DataFrame, coarse: np.ndarray, k: int, recall: float, sample: int) -> int:
+    """As many lists as hold the share ``recall`` of the k nearest others of ``sample`` vectors, which are compared with all."""
+    picked = coded.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).toArrow()
+    qid, q = np.asarray(picked.column("vec_id")), _matrix(picked.column("embedding"))
+
+    def near(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, home = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            d = distances(q.astype(np.float64), _matrix(batch.column(1)).astype(np.float64))
+            d[qid[:, None] == ids[None]] = np.inf
+            best = np.argsort(d, 1, kind="stable")[:, :k]
+            row, col = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+            ok = np.isfinite(d[row, col])
+            row, col = row[ok], col[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(d[row, col]), pa.array(ids[col]), pa.array(home[col])], ["q", "d", "vec_id", "home"])
+
+    found = coded.select("vec_id", "embedding", "home").mapInArrow(near, "q long, d double, vec_id long, home int")
+    true = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id", "home"))), 1, k)["home"].alias("home"))
+    place = np.argsort(np.argsort(distances(q, coarse), 1, kind="stable"), 1, kind="stable")
+    needed = np.sort(np.concatenate([place[r["q"], r["home"]] for r in true.collect()]))
+    return int(needed[math.ceil(recall * len(needed)) - 1]) + 1
+
+
 def search_list(ids, x, codes, qid, q, centroid, words, k: int, rerank: int):
     """The k nearest members of a list for each query, as (query, member, squared distance); a query isn't its own neighbour."""
-    m = len(words)
     out = []
+    top, full = min(k * rerank, len(ids)), x.astype(np.float64)
+    # Distances to what the codes stand for: the sums of the table's entries, by one matrix product.
+    coded = np.concatenate([w[codes[:, s]] for s, w in enumerate(words)], 1)
     for lo in range(0, len(q), 256):
-        part = q[lo : lo + 256]
-        table = np.stack([distances(r, w) for r, w in zip(np.split(part - centroid, m, 1), words)], 1)
-        rough = np.zeros((len(part), len(ids)), np.float32)
-        for s in range(m):
-            rough += table[:, s, :][:, codes[:, s]]
-        rough[qid[lo : lo + 256, None] == ids[None]] = np.inf
-        top = min(k * rerank, len(ids))
-        best = np.argpartition(rough, top - 1, 1)[:, :top]
-        exact = ((x[best].astype(np.float64) - part[:, None].astype(np.float64)) ** 2).sum(2)
-        exact[~np.isfinite(np.take_along_axis(rough, best, 1))] = np.inf
-        order = np.lexsort((ids[best], exact), axis=1)[:, :k]
-        d, near = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best], order, 1)
-        row, col = np.nonzero(np.isfinite(d))
-        out.append((qid[lo + row], near[row, col], d[row, col]))
+        part, own = q[lo : lo + 256].astype(np.float64), qid[lo : lo + 256]
+        far, self_ = distances(part, full), own[:, None] == ids[None]
+        far[self_] = np.inf
+        if top < len(ids):
+            rough = distances((part - centroid).astype(np.float32), coded)
+            rough[self_] = np.inf
+            np.put_along_axis(far, np.argpartition(rough, top - 1, 1)[:, top:], np.inf, 1)
+        # Products round, so all that may be among the k nearest are measured again by their differences.
+        last = np.partition(far, min(k, len(ids)) - 1, 1)[:, min(k, len(ids)) - 1]
+        slack = 1e-9 * ((part**2).sum(1) + (full**2).sum(1).max())
+        row, col = np.nonzero(np.isfinite(far) & (far <= (last + slack)[:, None]))
+        d = ((full[col] - part[row]) ** 2).sum(1)
+        best = _nearest(row, ids[col], d, k)
+        out.append((own[row[best]], ids[col[best]], d[best]))
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, probes: float = PROBES, rerank: int = RERANK, chunk: int = CHUNK, m: int = 8, rounds: int = 6) -> DataFrame:
+def _groups(counts: dict[int, int], chunk: int) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """The lists of each group, and (list, part, group): small lists share a group, parts of a large one have groups of their own."""
+    groups, where, room = [], [], 0
+    for one, n in sorted(counts.items()):
+        parts = math.ceil(n / chunk)
+        if parts > 1:
+            where += [(one, part, len(groups) + part) for part in range(parts)]
+            groups += [[one]] * parts
+            room = 0
+        else:
+            if n > room:
+                groups.append([])
+                room = chunk
+            groups[-1].append(one)
+            where.append((one, 0, len(groups) - 1))
+            room -= n
+    return groups, where
+
+
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, probes: float | None = None, rerank: int = RERANK, chunk: int = CHUNK, m: int = 8, rounds: int = 6, recall: float = RECALL, sample: int = 512) -> DataFrame:
     """``(vec_id, rank, neighbour_id, distance)``: the k nearest others of each vector, by Euclidean distance.
 
-    ``probes`` is the fraction of the lists that a query looks into.  Rows with a NULL id, a NULL or
+    ``probes`` is the fraction of the lists that a query looks into; without it, :func:`probes_for`
+    finds what ``recall`` needs.  Rows with a NULL id, a NULL or
     empty vector, NULL, NaN or infinite elements, or another dimension than the most frequent one
     have no result and are no neighbours.  An id that repeats counts once, with the vector that
     sorts first.  Ties go to the lesser id.  Fewer than two vectors give an empty result.
@@ -134,28 +212,42 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     m = max(x for x in range(1, min(m, dim) + 1) if dim % x == 0)
     lists = max(1, round(math.sqrt(n)))
     coarse, words = train(clean, n, dim, lists, m, rounds)
-    probed = max(1, math.ceil(len(coarse) * probes))
-    coded = stored(clean.mapInArrow(lambda b: _assigned(b, coarse, words, probed), "vec_id long, embedding array<float>, home int, probed array<int>, code binary"), "ann-coded")
-    sizes = coded.groupBy("home").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).withColumnRenamed("home", "list")
-    members = coded.join(sizes, coded["home"] == sizes["list"]).select(
-        "list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.col("vec_id"), "embedding", "code"
-    )
-    queries = (
-        coded.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("probed").alias("query_list"))
-        .join(sizes.withColumnsRenamed({"list": "query_list"}), "query_list")
-        .select("query_list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("query_part"), "query_id", "query")
+    coded = stored(clean.mapInArrow(lambda b: _assigned(b, coarse, words), "vec_id long, embedding array<float>, home int, code binary"), "ann-coded")
+    probed = probes_for(coded, coarse, k, recall, sample) if probes is None else max(1, math.ceil(len(coarse) * probes))
+    groups, where = _groups({r["home"]: r["count"] for r in coded.groupBy("home").count().collect()}, chunk)
+    held = spark.createDataFrame(where, "list int, part int, grp int")
+    parts = held.groupBy("list").agg(F.count("*").cast("int").alias("parts"))
+    slices = math.ceil(n / _SLICE)
+    members = (
+        coded.join(F.broadcast(parts), F.col("home") == F.col("list")).drop("list")
+        .withColumn("own", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+        .join(F.broadcast(held), (F.col("home") == F.col("list")) & (F.col("own") == F.col("part")))
+        .select("grp", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "list", "vec_id", "embedding", "code")
     )
+    queries = coded.select("vec_id", "embedding").mapInArrow(
+        lambda b: _asked(b, coarse, probed, groups), "grp int, query_id long, query array<float>, lists array<int>"
+    ).withColumn("slice", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(slices)).cast("int"))
 
     def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
+        home, ids, x = np.asarray(left.column("list")), np.asarray(left.column("vec_id")), _matrix(left.column("embedding"))
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(-1, m)
-        a, b, d = search_list(
-            np.asarray(left.column("vec_id")), _matrix(left.column("embedding")), codes, np.asarray(right.column("query_id")), _matrix(right.column("query")), coarse[key[0].as_py()], words, k, rerank
-        )
-        return pa.table({"vec_id": a, "neighbour_id": b, "d": d})
+        qid, q = np.asarray(right.column("query_id")), _matrix(right.column("query"))
+        asked = right.column("lists").combine_chunks()
+        asker, asked = np.repeat(np.arange(len(qid)), np.asarray(asked.value_lengths())), np.asarray(asked.flatten())
+        found = []
+        for c in np.unique(home):
+            own, by = home == c, asker[asked == c]
+            if len(by):
+                found.append(search_list(ids[own], x[own], codes[own], qid[by], q[by], coarse[c], words, k, rerank))
+        if not found:
+            return empty
+        a, b, d = map(np.concatenate, zip(*found))
+        best = _nearest(a, b, d, k)
+        return pa.table({"vec_id": a[best], "neighbour_id": b[best], "d": d[best]})
 
-    found = members.groupBy("list", "part").cogroup(queries.groupBy("query_list", "query_part")).applyInArrow(one, "vec_id long, neighbour_id long, d double")
+    found = members.groupBy("grp", "slice").cogroup(queries.groupBy("grp", "slice")).applyInArrow(one, "vec_id long, neighbour_id long, d double")
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour_id"))), 1, k).alias("best"))
     return best.select("vec_id", F.posexplode("best").alias("rank", "x")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("x.neighbour_id"), F.sqrt("x.d").alias("distance"))

@@ -42,3 +42,18 @@ def test_asymmetric_distance_orders():
     words = np.array([[[0], [1], [5]], [[0], [1], [5]]], np.float32)
     q, near, d = search_list(np.arange(3), x, np.array([[0, 0], [1, 1], [2, 2]], np.uint8), np.array([9]), np.array([[0.9, 0.9]], np.float32), np.zeros(2, np.float32), words, 2, 1)
     assert near.tolist() == [1, 0] and q.tolist() == [9, 9]
+
+
+def test_recall_on_the_registered_table(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        rows = df.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+        ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+        d = distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        true = {i: set(ids[own]) for i, own in zip(ids, np.argsort(d, 1, kind="stable")[:, :10])}
+        got = neighbours(df).toPandas()
+        assert (got.groupby("vec_id").size() == 10).all() and set(got["vec_id"]) == set(ids)
+        hit = sum(b in true[a] for a, b in zip(got["vec_id"], got["neighbour_id"])) / (10 * len(ids))
+        print(sf, hit)
+        assert hit >= 0.95
