@@ -19,8 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents of which nothing else is left."""
-    kept = lines.drop_lines(docs)
+    """Lines that repeat an earlier one go, and documents of which nothing else is left.
+
+    Equal lines go at any length, near ones from 5 words on: of shorter ones an edit is a quarter or more.
+    """
+    kept = lines.drop_lines(docs, min_words=1, near_words=5)
     if "n_chars" not in kept.columns:
         return kept
     return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType))

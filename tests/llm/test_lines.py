@@ -85,3 +85,20 @@ def test_several_texts_and_empty(spark):
     assert [(r.doc_id, r.line) for r in repeated_lines(docs).collect()] == [(2, 0)]
     assert sorted(r.text for r in drop_lines(docs).collect()) == ["keep", "q w e r t y", "z w e r t y\nkeep"]
     assert repeated_lines(docs.limit(0)).count() == 0 and drop_lines(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [
+        (1, "All rights reserved.\nStop\none two three four five\nown of one\n---"), (2, "all rights reserved\nown of two\n\n---"),
+        (3, "one two three four six\nstop\nGo\nown of three"), (4, "Stop!"), (5, "one two four five\none two three\nAll rights\nall wrongs"),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    want = {1: rows[0][1], 2: "own of two\n\n---", 3: "Go\nown of three", 5: rows[4][1]}
+    assert got == {i: (text, len(text)) for i, text in want.items()}
+    for seed in range(2):
+        rows = corpus(seed)
+        got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1, near_words=5).collect()
+        assert {tuple(r) for r in got} == brute(rows, 1, 5) and len(got) == len(set(got))
