@@ -6,14 +6,14 @@ occurring in the same document, counted over all documents.  A random walk from
 in toxic seeds with one chance and in neutral seeds with another, which give the word its polarity;
 a document's score adds its words' weights.  The threshold is the one that best tells the labelled documents apart.
 
-What is bounded, by parameters: the labelled rows that seeds and the threshold are learned from
-(``max_labelled``, those of the least hash) and the size of the lexicon (``max_nodes``, the most
-strongly associated words).  All counts behind the graph are over all documents, and every
-document is scored over its whole text.
-
-Beside the seeds, words become nodes if a toxic seed is in ``min_share`` of their documents: others
-have next to no polarity, and leaving them out keeps the graph from growing
-with the square of the vocabulary.
+What is bounded, by a parameter: the labelled rows that seeds and the threshold are learned from
+(``max_labelled``, those of the least hash).  All counts behind the graph are over all documents,
+and every document is scored over its whole text.
+
+Beside the seeds, words become nodes if toxic seeds are in ``min_share`` of their documents, or in
+significantly more than twice the share of all documents, by a bar that rises with the number of
+words tested.  There is no limit to how many.  Words that stand with other nodes only, and with no
+seed, aren't found.
 """
 
 from __future__ import annotations
@@ -91,7 +91,10 @@ def word_counts(texts: DataFrame, marked) -> DataFrame:
 
 
 def seeds(counts: DataFrame, n_seeds: int = 128, min_docs: int = 5) -> tuple[list[bytes], list[bytes]]:
-    """Toxic seeds, the surest first, and neutral ones, the most frequent first, from ``(word, docs, some)`` over labelled documents."""
+    """Toxic seeds, the surest first, and neutral ones, the most frequent first, from ``(word, docs, some)`` over labelled documents.
+
+    All words that pass the bar are toxic seeds; there are as many neutral ones, ``n_seeds`` if that is more.
+    """
     total = counts.where(F.length("word") == 0).first()
     if not total or not total["some"] or total["some"] == total["docs"]:
         return [], []
@@ -100,9 +103,21 @@ def seeds(counts: DataFrame, n_seeds: int = 128, min_docs: int = 5) -> tuple[lis
         "z", (F.col("some") - F.col("docs") * share) / F.sqrt(F.col("docs") * share + 1)
     )
     sure = (F.col("some") + 1) / (F.col("docs") + 2)
-    bad = scored.where((sure >= max(0.75, min(0.9, 2 * share))) & (F.col("z") >= 4)).orderBy(F.desc("z"), "word").limit(n_seeds)
-    good = scored.where(sure <= 1.25 * share).orderBy(F.desc("docs"), "word").limit(n_seeds)
-    return [bytes(r["word"]) for r in bad.collect()], [bytes(r["word"]) for r in good.collect()]
+    bad = scored.where((sure >= max(0.75, min(0.9, 2 * share))) & (F.col("z") >= 4)).orderBy(F.desc("z"), "word")
+    toxic = [bytes(r["word"]) for r in bad.collect()]
+    good = scored.where(sure <= 1.25 * share).orderBy(F.desc("docs"), "word").limit(max(n_seeds, len(toxic)))
+    return toxic, [bytes(r["word"]) for r in good.collect()]
+
+
+def associated(counts: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """Words of ``(word, docs, some)`` that stand with toxic seeds: in min_share of their documents, or significantly more than twice as often as all do."""
+    total = counts.where(F.length("word") == 0).first()
+    share = max(total["some"], 1) / total["docs"]
+    tested = counts.where((F.length("word") > 0) & (F.col("docs") >= min_docs))
+    bar = max(4.0, math.sqrt(2 * math.log(max(tested.count(), 2))))
+    base = min(2 * share, (1 + share) / 2)
+    z = (F.col("some") - F.col("docs") * base) / F.sqrt(F.col("docs") * base * (1 - base) + 1)
+    return tested.where((F.col("some") > F.col("docs") * share) & ((F.col("some") >= F.col("docs") * min_share) | (z >= bar)))
 
 
 def _pairs(batches, node: dict):
@@ -144,7 +159,7 @@ def walk(i, j, weight, n: int, ends: np.ndarray, damping: float = 0.85, rounds:
     return found
 
 
-def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", n_seeds: int = 128, min_docs: int = 10, min_share: float = 0.75, max_nodes: int = 5000, damping: float = 0.85, sharpness: float = 3.0) -> dict[bytes, float]:
+def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", n_seeds: int = 128, min_docs: int = 10, min_share: float = 0.75, damping: float = 0.85, sharpness: float = 3.0) -> dict[bytes, float]:
     """Words with their polarity weights, from -1 (neutral) to 1 (toxic); empty without labels of both kinds.
 
     Edges weigh their mutual information to the power ``sharpness``, so that a shared language, which
@@ -164,13 +179,7 @@ def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col:
         .where(F.length("word").eqNullSafe(0) | (F.col("docs") >= min_docs) | F.col("word").isin([*bad, *good]))
     )
     total = counts.where(F.length("word") == 0).first()
-    n_docs, share = total["docs"], max(total["some"], 1) / total["docs"]
-    lift = F.col("some") / (F.col("docs") * share)
-    near = (
-        counts.where((F.length("word") > 0) & (F.col("docs") >= min_docs) & (F.col("some") >= F.col("docs") * min_share) & (lift > 1))
-        .orderBy(F.desc(F.col("some") * F.log(lift)), "word")
-        .limit(max_nodes)
-    )
+    n_docs, near = total["docs"], associated(counts, min_docs, min_share)
     df = {bytes(r["word"]): r["docs"] for r in counts.where(F.col("word").isin([*bad, *good])).collect()}
     df |= {bytes(r["word"]): r["docs"] for r in near.collect()}
     names = sorted(df)

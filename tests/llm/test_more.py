@@ -92,6 +92,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_lexicon_has_no_fixed_caps(spark):
+    counts = [(b"", 1000, 300)] + [(b"bad%d" % k, 20, 20) for k in range(200)] + [(b"fine%d" % k, 50, 0) for k in range(300)]
+    bad, good = toxicity.seeds(spark.createDataFrame(counts, "word binary, docs long, some long"))
+    assert len(bad) == 200 and len(good) == 200
+    rnd = random.Random(4)
+    rows = []
+    for i in range(1500):
+        own = sentence(rnd, 60).split()
+        if i % 10 == 0:
+            own[:3] = rnd.choices(["vile", "foul", "grim", "rank"], k=3)
+        if i >= 500 and (i % 10 == 0 and i < 1100 or i % 10 == 5 and i < 1100):
+            own[5] = "murk"
+        rows.append((i, " ".join(own), "en", "s", 0))
+    known = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(500)], "doc_id long, toxic int")
+    weight = toxicity.lexicon(spark.createDataFrame(rows, DOCS), known)
+    assert weight[b"vile"] > 0 and weight.get(b"murk", 0) > 0
+
+
 def test_walk_against_power_series():
     i, j, w = np.array([0, 1]), np.array([1, 2]), np.array([1.0, 3.0])
     p = np.array([[0, 1, 0, 0], [0.25, 0, 0.75, 0], [0, 1, 0, 0], [0, 0, 0, 0]])
