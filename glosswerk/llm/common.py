@@ -2,10 +2,12 @@
 
 Tokens: :func:`words` lower-cases a text, turns ASCII punctuation and control
 characters into blanks and splits on blanks.  Digits count as word characters.
+Of scripts that are written without blanks each character is a word.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +19,12 @@ _TABLE = bytes(
     b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 )
 
-#: Bytes of text taken from an Arrow batch at a time.
+#: Thai and Lao, Burmese, Khmer, kana and Chinese characters: written without blanks between words.
+DENSE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFD))
+_DENSE = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in DENSE) + "])")
+_HIGH = bytes(range(0xE0, 0x100))
+
+#: Rows of an Arrow batch that are taken at a time.
 _SLICE_ROWS = 512
 
 
@@ -25,7 +32,11 @@ def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; none for NULL, empty or blank texts."""
     if not text:
         return []
-    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    low = text.lower()
+    raw = low.encode("utf-8", "surrogatepass")
+    if len(raw) != len(text) and len(raw.translate(None, _HIGH)) != len(raw):
+        raw = _DENSE.sub(r" \1 ", low).encode("utf-8", "surrogatepass")
+    return raw.translate(_TABLE).split()
 
 
 def slices(batches, rows: int = _SLICE_ROWS):
@@ -36,37 +47,82 @@ def slices(batches, rows: int = _SLICE_ROWS):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; in local mode without one, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder in ``spark.checkpoint.dir``, or that of ``setCheckpointDir``; in local mode without either, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="glosswerk-")
-        spark.sparkContext.setCheckpointDir(found)
+    found = "file://" + tempfile.mkdtemp(prefix="glosswerk-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Paths in the shared folder that this process made and hasn't removed.
+_made: list[str] = []
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
+    """Write a table to the shared folder and read it again: lineage ends there, and a lost executor costs no more than reading."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The paths that :func:`stored` and others made so far."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that no result still reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def col(df: DataFrame, name: str) -> Column:
+    """A column by its very name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def cols(df: DataFrame) -> list[Column]:
+    """All columns, in order."""
+    return [col(df, c) for c in df.columns]
+
+
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names like the stems that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def id_type(df: DataFrame, id_col: str) -> str:
+    """The type of the id column, as DDL."""
+    return df.schema[id_col].dataType.simpleString()
+
+
+def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text)``: the id in its own type, the text as a string."""
+    require(docs, id_col, text_col)
+    return docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).cast("string").alias("text"))
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Raise ValueError for missing columns."""
     missing = [c for c in columns if c not in df.columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, stored, made
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,16 +13,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round links neighbours to a node's least neighbour: first the larger ones, then the
     smaller ones and the node itself.  Both steps keep connectivity; they end in stars.  Each
-    round's table is checkpointed, so a lost executor costs one round.  Self-loops and repeated
-    edges are harmless, rows with NULL are left out; an empty table gives an empty table.
+    round's table is written to the shared folder, so a lost executor costs one round, and those
+    before it are removed.  Self-loops and repeated edges are harmless, rows with NULL are left
+    out; an empty table gives an empty table.  More rounds than ``rounds`` raise RuntimeError
+    (they grow as the logarithm of the longest path).
     """
-    now = cut(
+    spark, before = edges.sparkSession, len(made())
+    now = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-        .distinct()
+        .distinct(),
+        "edges",
     )
     mark = _mark(now)
-    for _ in range(rounds):
+    for _ in range(rounds if mark[0] else 0):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (
@@ -35,12 +39,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        now = cut(small)
+        now = stored(small, "edges")
+        remove(spark, [p for p in made()[before:-1] if "/edges-" in p])
         if (new := _mark(now)) == mark:
             break
         mark = new
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 

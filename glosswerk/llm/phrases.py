@@ -9,7 +9,7 @@ other (Lempel-Ziv Jaccard distance).
 
 Documents of equal signatures are one node.  Others meet if one of ``BINS / ROWS`` bands of their
 signatures is equal; there signatures are compared in full, and pairs of at least the least
-similarity are linked, as a spanning forest where many are alike.
+similarity are linked; :mod:`.cells` splits large bands and hands on forests and numbers of links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, require, slices, stored, words
+from .cells import SPLIT, links
+from .common import id_type, slices, slim, stored, words
 from .components import components
 
 BINS, ROWS, LEAST = 64, 4, 0.65
@@ -64,9 +65,8 @@ def _signatures(batches):
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, phrases, signature)`` for each row; NULL, empty and wordless texts have no phrases and a NULL signature."""
-    require(docs, id_col, text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_signatures, "doc_id long, phrases long, signature binary")
+    rows = slim(docs, id_col, text_col)
+    return rows.mapInArrow(_signatures, f"doc_id {id_type(docs, id_col)}, phrases long, signature binary")
 
 
 def similarity(agree):
@@ -74,80 +74,49 @@ def similarity(agree):
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
-def alike(sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of signatures of at least the least similarity, as two arrays of positions."""
-    left, right, queue, rest = [], [], [], np.arange(len(sigs))
-    while len(rest):
-        if not queue:
-            queue, rest = [rest[0]], rest[1:]
-        i = queue.pop()
-        near = similarity((sigs[rest] == sigs[i]).mean(1)) >= least
-        if near.any():
-            hit = rest[near]
-            left.append(np.full(len(hit), i))
-            right.append(hit)
-            queue += hit.tolist()
-            rest = rest[~near]
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(none + left), np.concatenate(none + right)
-
-
-def _edges(batches, least: float):
-    """Rows come sorted by band and key; a cell may span batches."""
-    key, nodes, sigs = None, [], []
-
-    def flush():
-        node, sig = np.concatenate(nodes), np.concatenate(sigs)
-        a, b = alike(sig, least)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell = np.asarray(batch.column(0))
-        node = np.asarray(batch.column(1))
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BINS)
-        bounds = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if cell[lo] != key:
-                if sum(map(len, nodes)) > 1:
-                    yield flush()
-                key, nodes, sigs = cell[lo], [], []
-            nodes.append(node[lo:hi].copy())
-            sigs.append(sig[lo:hi].copy())
-    if sum(map(len, nodes)) > 1:
-        yield flush()
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """``(doc_id, phrases, fingerprint, group_id, similarity)`` for each distinct document id and signature.
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i in a, j in b) of the pairs of signatures of at least the least similarity."""
+    same, over, across = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for k in range(BINS):
+        same += over[k][:, None] == across[k][None]
+    return np.nonzero(similarity(same / BINS) >= least)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, split: int = SPLIT) -> DataFrame:
+    """``(doc_id, phrases, fingerprint, group_id, similarity, links)`` for each distinct document id and signature.
 
     ``fingerprint`` is the signature in hexadecimal; ``group_id`` is the least doc_id of the
-    documents linked by similar signatures, and ``similarity`` the estimate for the two.  NULL,
-    empty and wordless texts have a NULL fingerprint and are their own group with a NULL similarity; so are rows
+    documents linked by similar signatures, and ``similarity`` the estimate for the two.  ``links`` is the
+    number of other signatures found at least as similar as ``least``; documents of equal signatures have the same.
+    NULL, empty and wordless texts have a NULL fingerprint and are their own group with a NULL similarity and no links; so are rows
     with a NULL id, whose group is NULL.  Repeated rows give one row.  Of an id with several texts
-    each is placed.  Other columns are ignored, whatever their names.
+    each is placed; if the group's least id has several in it, that of the least signature is compared with.  Ids keep
+    their type.  An empty table gives an empty one; very long texts are read whole.  Other columns are ignored, whatever their names.
     """
     signed = stored(signatures(docs, id_col, text_col).distinct(), "phrases")
-    nodes = cut(signed.where("signature IS NOT NULL AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("node")))
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 1 + k, ROWS)) for k in range(0, BINS, ROWS)])
-    edges = (
-        nodes.select(F.explode(bands).alias("cell"), "node", "signature")
-        .repartition("cell").sortWithinPartitions("cell", "node")
-        .mapInArrow(lambda b: _edges(b, least), "a long, b long")
-    )
-    roots = components(edges)
-    placed = nodes.join(roots, nodes["node"] == roots["id"], "left").select("signature", F.coalesce("root", "node").alias("head"))
-    heads = placed.join(nodes.select(F.col("node").alias("head"), F.col("signature").alias("head_signature")), "head").groupBy("signature").agg(
-        F.min(F.struct("head", "head_signature")).alias("x")
-    )
+    ided = signed.where("signature IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = stored(ided.groupBy("signature").agg(F.min("doc_id").alias("own")).withColumn("node", F.monotonically_increasing_id()), "phrases-nodes")
+    bands = [F.xxhash64(F.substring("signature", 1 + k, ROWS)) for k in range(0, BINS, ROWS)]
+    cells = nodes.select(F.posexplode(F.array(*bands)).alias("grid", "cell"), "node")
+
+    def earlier(grid, sigs):
+        return [np.ascontiguousarray(sigs[:, k * ROWS : (k + 1) * ROWS]).view(f"u{ROWS}")[:, 0] for k in range(grid)]
+
+    found = links(cells, lambda a, b: alike(a, b, least), earlier, nodes.select("node", F.col("signature").alias("sig")), split)
+    roots = components(found.where("a <> b").select("a", "b"))
+    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    placed = nodes.join(roots, nodes["node"] == roots["id"], "left").withColumn("root", F.coalesce("root", "node"))
+    heads = placed.groupBy("root").agg(F.min(F.struct("own", "signature")).alias("head"))
     agree = F.lit(0)
     for k in range(BINS):
-        agree = agree + (F.substring("signature", k + 1, 1) == F.substring("x.head_signature", k + 1, 1)).cast("int")
-    grouped = heads.select("signature", F.col("x.head").alias("head"), similarity(agree / F.lit(float(BINS))).alias("similarity"))
+        agree = agree + (F.substring("signature", k + 1, 1) == F.substring("head.signature", k + 1, 1)).cast("int")
+    grouped = placed.join(heads, "root").join(counts, "node", "left").select(
+        "signature", F.col("head.own").alias("head"), similarity(agree / F.lit(float(BINS))).alias("similarity"), "links"
+    )
     alone = F.col("doc_id").isNull() | F.col("signature").isNull()
     return signed.join(grouped, "signature", "left").select(
         "doc_id", "phrases", F.lower(F.hex("signature")).alias("fingerprint"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("head")).alias("group_id"),
         F.when(~alone, F.col("similarity")).alias("similarity"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("links"),
     )

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, require, slices, words
+from .common import col, cols, free, id_type, require, slices, slim, stored, words
 
 #: Word counters are handed on when they grow beyond this, so that a task's memory is bounded.
 _FLUSH = 400_000

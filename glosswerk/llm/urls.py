@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, require
+from .common import col, id_type, require, stored
 
 DEPTH, MAX_BRANCH, Z, FAR, PRIOR, MIN_LABELLED, LEAST = 6, 16, 2.0, 2.0, 4.0, 5, 0.6
 

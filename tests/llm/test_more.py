@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswerk.llm import phrases, secrets, simhash, tokens, toxicity, urls
-from glosswerk.llm.common import fresh_path
+from glosswerk.llm.common import fresh_path, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "ne", "pu", "ti") for b in ("ra", "so", "ve", "xi") for c in ("", "n", "st", "ld")]
@@ -32,31 +32,119 @@ def copies(spark, seed=1):
     return rows
 
 
-def test_simhash_groups_and_brute_force(spark):
-    rows = copies(spark)
-    docs = spark.createDataFrame(rows, DOCS).unionByName(edges_of(spark)).withColumn("fp0", F.lit(1)).withColumn("node", F.lit("x")).withColumn("kept", F.lit(0))
-    prints = [r for r in simhash.fingerprints(docs).collect() if r.fp0 is not None and r.doc_id is not None]
-    u = np.array([(r.fp0, r.fp1) for r in prints], np.int64).view(np.uint64)
-    far = np.bitwise_count(u[:, None] ^ u[None]).sum(2, dtype=int)
-    parent = {r.doc_id: r.doc_id for r in prints}
+def groups(n, pairs):
+    """Each of n nodes' group, as the least member's number, and its number of links."""
+    parent, links = list(range(n)), [0] * n
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, j in zip(*np.nonzero(far <= 17)):
-        a, b = sorted((root(prints[i].doc_id), root(prints[j].doc_id)))
+    for i, j in pairs:
+        links[i] += 1
+        a, b = sorted((root(i), root(j)))
         parent[b] = a
-    want = {r.doc_id: root(r.doc_id) for r in prints}
-    got = {r.doc_id: r.group_id for r in simhash.decisions(docs).collect()}
-    assert sum(got[k] == v for k, v in want.items()) / len(want) >= 0.97
-    assert all(got[1000 + 100 * k] == k for k in range(1, 40)) and got[1] == got[1] and got[None] is None and got[2] == 2
+    return [root(k) for k in range(n)], links
+
+
+def test_simhash_groups_and_brute_force(spark):
+    rows = copies(spark)
+    docs = spark.createDataFrame(rows, DOCS).unionByName(edges_of(spark).withColumn("doc_id", F.col("doc_id") + 9000)).withColumn("fp0", F.lit(1)).withColumn("node", F.lit("x")).withColumn("kept", F.lit(0)).withColumn("i", F.lit(0)).withColumn("meta.url", F.lit("u"))
+    prints = sorted({(r.doc_id, r.fp0, r.fp1) for r in simhash.fingerprints(docs).collect() if r.fp0 is not None and r.doc_id is not None})
+    own = sorted({p[1:] for p in prints})
+    u = np.array(own, np.int64).view(np.uint64)
+    far = np.bitwise_count(u[:, None] ^ u[None]).sum(2, dtype=int)
+    group, links = groups(len(own), [(i, j) for i, j in zip(*np.nonzero(far <= 17)) if i != j])
+    least = {}
+    for i, *fp in prints:
+        g = group[own.index(tuple(fp))]
+        least[g] = min(least.get(g, i), i)
+    want = {i: (least[group[own.index(tuple(fp))]], links[own.index(tuple(fp))]) for i, *fp in prints}
+    for split in (4096, 11):
+        got = {r.doc_id: (r.group_id, r.links) for r in simhash.decisions(docs, split=split).collect()}
+        assert sum(got[k][0] == v[0] for k, v in want.items()) / len(want) >= 0.97
+        assert all(got[k][1] <= v[1] for k, v in want.items()) and sum(x[1] for x in got.values()) >= 0.97 * sum(x[1] for x in want.values())
+        assert all(got[1000 + 100 * k][0] == k for k in range(1, 40)) and got[None] == (None, 0) and got[9002] == (9002, 0)
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(range(40)) - {1, 2, 3} <= set(ids) and None in ids and not [x for x in ids if x and x >= 1000]
-    assert simhash.near_dedup(docs.limit(0)).count() == 0
+    assert len(ids) == len(set(ids)) and set(range(40)) | {9001, 9002, 9003} <= set(ids) and None in ids and not [x for x in ids if x and 1000 <= x < 9000]
+    assert simhash.near_dedup(docs.limit(0)).count() == 0 and simhash.decisions(docs.limit(0)).count() == 0
+
+
+def test_simhash_exact_with_one_grid_of_all(spark):
+    """With a single cell the join is exact: every link is found and counted once."""
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, sentence(rnd, 4) + " same words in all of these rows and more of them", "", "", 0) for i in range(120)], DOCS)
+    prints = {r.doc_id: (r.fp0, r.fp1) for r in simhash.fingerprints(docs).collect()}
+    own = sorted(set(prints.values()))
+    u = np.array(own, np.int64).view(np.uint64)
+    far = np.bitwise_count(u[:, None] ^ u[None]).sum(2, dtype=int)
+    _, links = groups(len(own), [(i, j) for i, j in zip(*np.nonzero(far <= 30)) if i != j])
+    assert sum(links) > 100
+    for options in ({}, {"split": 7}, {"recall": 0.9999999}):
+        got = {r.doc_id: r.links for r in simhash.decisions(docs, max_distance=30, **options).collect()}
+        if "recall" in options:
+            assert got == {i: links[own.index(fp)] for i, fp in prints.items()}
+        else:
+            assert all(n <= links[own.index(prints[i])] for i, n in got.items())
+
+
+def test_simhash_keeps_each_text_of_an_id(spark):
+    rnd = random.Random(3)
+    one, two, other = sentence(rnd, 80), sentence(rnd, 80), sentence(rnd, 80)
+    near = lambda t: t + " extra"
+    rows = [(3, near(two)), (5, one), (5, two), (10, near(one)), (7, other), (7, other), (8, "!"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", k) for k, r in enumerate(rows)], DOCS)
+    found = {(r.doc_id, r.group_id, r.links, r.kept) for r in simhash.decisions(docs).collect()}
+    assert found == {(3, 3, 1, True), (5, 3, 1, False), (5, 5, 1, True), (10, 5, 1, False), (7, 7, 0, True), (8, 8, 0, True)}
+    got = sorted(((r.doc_id, r.text) for r in simhash.near_dedup(docs).collect()), key=str)
+    assert got == sorted([(3, near(two)), (5, one), (7, other), (8, "!"), (8, None), (8, "")], key=str)
+    named = docs.withColumn("doc_id", F.concat(F.lit("u-"), "doc_id"))
+    assert {r.doc_id for r in simhash.near_dedup(named).collect()} == {"u-10", "u-3", "u-7", "u-8"}
+
+
+def test_dense_scripts_have_words():
+    assert words("語りA b") == ["語".encode(), "り".encode(), b"a", b"b"] and words("café – x") == ["café".encode(), "–".encode(), b"x"]
+
+
+def test_recall_of_grids():
+    rnd = np.random.default_rng(4)
+    a = rnd.integers(0, 2**63, (4000, 2)).astype(np.uint64)
+    bits = np.unpackbits(a.view(np.uint8).reshape(-1, 16), axis=1)
+    for row in bits:
+        row[rnd.choice(128, 17, replace=False)] ^= 1
+    b = np.packbits(bits, axis=1).reshape(-1, 16).copy().view(np.uint64)
+    for n in (10**4, 10**6, 10**8):
+        plan = simhash.grid_plan(n, 17)
+        met = np.zeros(len(a), bool)
+        for segments in plan:
+            met |= simhash._cells(a, segments, 2) == simhash._cells(b, segments, 2)
+        assert met.mean() >= 0.9
+
+
+def test_cells_count_every_link_once(spark):
+    from glosswerk.llm import cells
+
+    rnd = np.random.default_rng(1)
+    sigs = rnd.integers(0, 3, (300, 8)).astype(np.uint8)
+    rows = [(g, int(sigs[k, 2 * g]) * 4 + int(sigs[k, 2 * g + 1]), k, bytearray(sigs[k].tobytes())) for g in range(4) for k in range(300)]
+    df = spark.createDataFrame(rows, "grid int, cell long, node long, sig binary")
+    near = lambda a, b: np.nonzero((a[:, None] == b[None]).sum(2) >= 6)
+    earlier = lambda grid, s: [s[:, 2 * g].astype(int) * 4 + s[:, 2 * g + 1] for g in range(grid)]
+    same = (sigs[:, None] == sigs[None]).sum(2) >= 6
+    group, links = groups(300, [(i, j) for i, j in zip(*np.nonzero(same)) if i != j and any((sigs[i, 2 * g : 2 * g + 2] == sigs[j, 2 * g : 2 * g + 2]).all() for g in range(4))])
+    for split in (4096, 5):
+        found = cells.links(df, near, earlier, split=split).collect()
+        count = [0] * 300
+        for r in found:
+            if r.a == r.b:
+                count[r.a] += r.links
+        assert count == links
+        assert groups(300, [(r.a, r.b) for r in found if r.a != r.b])[0] == group
+        assert cells.links(df.drop("sig"), near, earlier, df.select("node", "sig").distinct(), split).count() == len(found)
+    assert cells.links(df.limit(0), near, earlier).count() == 0
 
 
 def test_manhattan_is_a_lower_bound():
@@ -122,8 +210,8 @@ def test_walk_against_power_series():
 def test_phrases(spark):
     assert phrases.parse(b"x y x y x".split()) == {b"x", b"y", b"x y"} and phrases.parse([]) == set()
     rows = copies(spark, 3)
-    docs = spark.createDataFrame(rows, DOCS).unionByName(edges_of(spark).withColumn("doc_id", F.col("doc_id") + 9000)).withColumn("signature", F.lit(1)).withColumn("cell", F.lit("x"))
-    got = {r.doc_id: r for r in phrases.fingerprints(docs, ).collect()}
+    docs = spark.createDataFrame(rows, DOCS).unionByName(edges_of(spark).withColumn("doc_id", F.col("doc_id") + 9000)).withColumn("signature", F.lit(1)).withColumn("cell", F.lit("x")).withColumn("a.b", F.lit("x"))
+    got = {r.doc_id: r for r in phrases.fingerprints(docs).collect()}
     assert sum(got[1000 + 100 * k].group_id == k for k in range(40)) == 40 and got[9001].fingerprint is None and got[9001].group_id == 9001 and got[None].group_id is None
     sets = {i: phrases.parse(text.lower().encode().split()) for i, text, *_ in rows}
     off = [abs(r.similarity - len(sets[i] & sets[r.group_id]) / len(sets[i] | sets[r.group_id])) for i, r in got.items() if i is not None and i < 9000 and i != r.group_id]
@@ -131,6 +219,27 @@ def test_phrases(spark):
     assert phrases.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_phrase_groups_against_all_pairs(spark):
+    rows = copies(spark, 6)
+    rows += [(0, rows[5][1] + " z", "", "", 0), (0, rows[5][1] + " z", "", "", 0), (7, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    signed = {(r.doc_id, bytes(r.signature)) for r in phrases.signatures(docs).collect() if r.signature is not None}
+    own = sorted({s for _, s in signed})
+    m = np.array([list(s) for s in own], np.uint8)
+    same = phrases.similarity((m[:, None] == m[None]).mean(2)) >= phrases.LEAST
+    met = (m[:, None].reshape(len(m), 1, 16, 4) == m[None].reshape(1, len(m), 16, 4)).all(3).any(2)
+    group, links = groups(len(own), [(i, j) for i, j in zip(*np.nonzero(same & met)) if i != j])
+    assert (same & met).sum() >= 0.995 * same.sum()
+    least = {}
+    for i, s in signed:
+        g = group[own.index(s)]
+        least[g] = min(least.get(g, i), i)
+    want = {(i, s.hex()): (least[group[own.index(s)]], links[own.index(s)]) for i, s in signed}
+    for split in (4096, 9):
+        got = {(r.doc_id, r.fingerprint): (r.group_id, r.links) for r in phrases.fingerprints(docs, split=split).collect() if r.fingerprint}
+        assert got == want
+
+
 def test_secrets_ledger(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = [("a", 1, f"x {key} y"), ("a", 2, "nothing"), ("b", 1, f"x {key} y"), ("c", 1, None), ("d", 1, ""), (None, None, "password=abcdefgh1"), ("a", 1, f"x {key} y")]
