@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from .text import WS
 
@@ -67,8 +67,8 @@ def definitions(keywords: str | Sequence[str] | Mapping[str, str | Sequence[str]
                 raise ValueError("labels must not be blank")
         if isinstance(values, str):
             values = [values]
-        if isinstance(values, bytes) or not isinstance(values, Sequence):
-            raise TypeError("keywords must be text or a sequence of it")
+        if isinstance(values, (bytes, Mapping)) or not isinstance(values, Iterable):
+            raise TypeError("keywords must be text or an iterable of it")
         for value in values:
             if not isinstance(value, str):
                 raise TypeError("keywords must be text")
@@ -87,6 +87,12 @@ def definitions(keywords: str | Sequence[str] | Mapping[str, str | Sequence[str]
 def affixes(values: Sequence[str] | None, default: Sequence[str], name: str) -> tuple[str, ...]:
     if values is None:
         return tuple(default)
-    if isinstance(values, (str, bytes)) or not all(isinstance(x, str) for x in values):
-        raise TypeError(f"{name} must be a sequence of texts")
-    return tuple(values)
+    return texts(values, name)
+
+
+def texts(values: Iterable[str], name: str) -> tuple[str, ...]:
+    """An iterable of texts, but not a text itself; TypeError for others."""
+    found = () if isinstance(values, (str, bytes, Mapping)) or not isinstance(values, Iterable) else (tuple(values),)
+    if not found or not all(isinstance(x, str) for x in found[0]):
+        raise TypeError(f"{name} must be texts")
+    return found[0]

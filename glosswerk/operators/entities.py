@@ -35,6 +35,7 @@ class Entity(NamedTuple):
     aliases: tuple[str, ...]
     pattern: str
     scorable: str
+    heads: frozenset[str]
 
 
 def entity_definitions(entities, aliases: Mapping[str, str | Sequence[str]] | None = None, josa_list=None, eomi_list=None, rm_punctuation: bool = True, unicode_normalization: str | None = None) -> tuple[list[Entity], bool]:
@@ -42,19 +43,16 @@ def entity_definitions(entities, aliases: Mapping[str, str | Sequence[str]] | No
     entries, labelled = patterns.definitions(entities)
     form = unicode_form(unicode_normalization)
     particles, endings = patterns.affixes(josa_list, patterns.PARTICLES, "josa_list"), patterns.affixes(eomi_list, patterns.ENDINGS, "eomi_list")
-    by_key = {patterns.compact(name): name for name, _ in entries}
     surfaces: dict[str, list[str]] = {name: [] for name, _ in entries}
     if aliases is not None and not isinstance(aliases, Mapping):
         raise TypeError("aliases must map entities to texts")
     for entity, values in (aliases or {}).items():
         if not isinstance(entity, str):
             raise TypeError("aliases are of entities' names")
-        name = by_key.get(patterns.compact(entity))
-        if name is None:
+        name = entity.strip()
+        if name not in surfaces:
             raise ValueError(f"aliases of {entity!r}, which is no entity")
-        values = [values] if isinstance(values, str) else values
-        if isinstance(values, bytes) or not isinstance(values, Sequence) or not all(isinstance(v, str) for v in values):
-            raise TypeError("aliases must be texts")
+        values = patterns.texts([values] if isinstance(values, str) else values, "aliases")
         for v in values:
             if not v.strip():
                 raise ValueError("aliases must not be blank")
@@ -77,7 +75,7 @@ def entity_definitions(entities, aliases: Mapping[str, str | Sequence[str]] | No
         scorable = _scorable(canonical, rm_punctuation)[0]
         if not scorable:
             raise ValueError(f"entity {name!r} has no character to score")
-        found.append(Entity(name, label, canonical, tuple(surfaces[name]), pattern, scorable))
+        found.append(Entity(name, label, canonical, tuple(surfaces[name]), pattern, scorable, frozenset(patterns.compact(x)[0] for x in forms)))
     return found, labelled
 
 
@@ -89,7 +87,8 @@ def _scorable(text: str, rm_punctuation: bool) -> tuple[str, list[int]]:
 
 def _mentions(text: str, compiled: list[re.Pattern], entities: list[Entity]) -> tuple[str, list[tuple[int, int, int, str]]]:
     """The text with canonical mentions, and (entity, start, end, surface) of each: from the left, the longest, the first defined."""
-    found = sorted((m.start(1), m.start(1) - m.end(1), k, m.group(1)) for k, p in enumerate(compiled) for m in p.finditer(text))
+    own = set(text)
+    found = sorted((m.start(1), m.start(1) - m.end(1), k, m.group(1)) for k, p in enumerate(compiled) if not own.isdisjoint(entities[k].heads) for m in p.finditer(text))
     out, spans, since, length = [], [], 0, 0
     for start, minus, k, surface in found:
         if start < since:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import edit, rates, text
@@ -35,13 +35,21 @@ def explain(pairs: DataFrame, unit: str = "character", rm_punctuation: bool = Tr
 
 
 def error_frequencies(explained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(type, reference, hypothesis, count, rank)`` of a result of :func:`explain`, most frequent first, then by token."""
-    from pyspark.sql import Window
+    """``(type, reference, hypothesis, count, rank)`` of a result of :func:`explain`, most frequent first, then by token.
 
+    Errors are ranked within (type, count, the reference's first two characters); those before come from the sizes of such
+    parts, a small table.  So no task sorts all errors of a type.
+    """
     errors = explained.select(*by, F.explode("alignment").alias("e")).where("e.type <> 'equal'").select(*by, "e.type", "e.reference", "e.hypothesis")
-    counted = errors.groupBy(*by, "type", "reference", "hypothesis").agg(F.count("*").alias("count"))
-    order = Window.partitionBy(*by, "type").orderBy(F.desc("count"), "reference", "hypothesis")
-    return counted.withColumn("rank", F.row_number().over(order))
+    head = F.substring("reference", 1, 2).alias("head")
+    counted = errors.groupBy(*by, "type", "reference", "hypothesis").agg(F.count("*").alias("count")).select("*", head)
+    part = [*by, "type", "count", "head"]
+    sizes = counted.groupBy(*part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by, "type").orderBy(F.desc("count"), "head").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("reference", "hypothesis"))
+    placed = counted.withColumn("own", own).alias("a").join(sizes.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part])
+    return placed.select(*[F.col(f"a.{c}") for c in [*by, "type", "reference", "hypothesis", "count"]], (F.col("b.before") + F.col("a.own")).cast("int").alias("rank"))
 
 
 def explain_errors(reference: str, hypothesis: str, unit: str = "character", rm_punctuation: bool = True, *, rate_mode: str = "normalized", unicode_normalization: str | None = None) -> dict:
@@ -59,7 +67,7 @@ def explain_errors(reference: str, hypothesis: str, unit: str = "character", rm_
         "rate": rates.plain_error_rate(h, s, d, i, mode),
         "processed_reference": shown[0],
         "processed_hypothesis": shown[1],
-        "hits": h, "substitutions": s, "deletions": d, "insertions": i,
+        "counts": {"hits": h, "substitutions": s, "deletions": d, "insertions": i},
         "alignment": [{"type": x[0], "reference": x[1], "hypothesis": x[2]} for x in steps],
         "error_frequencies": {
             "substitutions": [{"reference": a, "hypothesis": b, "count": n} for (a, b), n in ranked("substitute", lambda x: x[1:3])],

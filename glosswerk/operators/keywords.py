@@ -1,7 +1,8 @@
 """Keyword preservation: mentions of each keyword in references and hypotheses.
 
-A keyword's pattern is a literal, so that Java compiles it once a task; one scan of the pairs counts
-all keywords, and only sums are shuffled.
+A keyword's pattern is a literal, so that Java compiles it once a task; it runs only over texts that have
+the keyword's first character.  One scan of the pairs counts all keywords, keywords without a mention never
+become rows, and only sums are shuffled.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ def mention_counts(pairs: DataFrame, keywords, josa_list: Sequence[str] | None =
         parts.append(
             F.struct(
                 F.lit(k).alias("definition_index"), F.lit(keyword).alias("keyword"), F.lit(label).cast("string").alias("label"),
-                F.regexp_count("reference", p).alias("r"), F.regexp_count("hypothesis", p).alias("h"),
+                *[F.when(F.col(c).contains(patterns.compact(keyword)[0]), F.regexp_count(c, p)).otherwise(0).alias(c[0]) for c in ("reference", "hypothesis")],
             )
         )
-    return pairs.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("r + h > 0")
+    return pairs.select(F.explode(F.filter(F.array(*parts), lambda x: x["r"] + x["h"] > 0)).alias("x")).select("x.*")
 
 
 def evaluate_keywords(pairs: DataFrame, keywords: str | Sequence[str] | Mapping[str, str | Sequence[str]], josa_list: Sequence[str] | None = None, eomi_list: Sequence[str] | None = None) -> DataFrame:

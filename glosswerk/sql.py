@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import edit, text
 from .operators.corpus import get_cer, get_crr, get_wer
-from .sources.transcripts import parse_transcript
+from .sources.transcripts import parse_segments
 
 
 def register(spark: SparkSession) -> None:
@@ -26,7 +26,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf(edit.COUNTS)
     def edit_counts(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        out = [(None,) * 4 if a is None or b is None else edit.counts(text.plain_cer_text(a), text.plain_cer_text(b)) for a, b in zip(r, h)]
+        out = edit.counts_by_batch([None if a is None or b is None else (text.plain_cer_text(a), text.plain_cer_text(b)) for a, b in zip(r, h)])
         return pd.DataFrame(out, columns=["hits", "substitutions", "deletions", "insertions"]).astype("Int64")
 
     spark.udf.register("gw_edit_counts", edit_counts)
@@ -34,9 +34,8 @@ def register(spark: SparkSession) -> None:
     @F.udtf(returnType="segment int, start string, end string, text string")
     class Segments:
         def eval(self, content: str, source_format: str):
-            found = parse_transcript(content, source_format)
-            times = found["provenance"].get("timestamps") or [{"start": None, "end": None}]
-            for k, t in enumerate(times):
-                yield k, None if t["start"] is None else str(t["start"]), None if t["end"] is None else str(t["end"]), found["text"]
+            shown = lambda x: None if x is None else str(x)
+            for k, own in enumerate(parse_segments(content, source_format, json_text_policy="segments_fallback")[1]):
+                yield k, shown(own.start), shown(own.end), own.text
 
     spark.udtf.register("gw_segments", Segments)

@@ -97,7 +97,7 @@ def test_white_space_is_pythons(spark):
 
 def test_explain(spark):
     e = g.explain_errors("나는 학교 간다", "나는 학교에 간다 오늘", unit="word")
-    assert (e["hits"], e["substitutions"], e["insertions"]) == (2, 1, 1)
+    assert (e["counts"]["hits"], e["counts"]["substitutions"], e["counts"]["insertions"]) == (2, 1, 1)
     f = g.error_frequencies(g.explain(pairs(spark, ["ab ab", "ab"], ["ax ax", "a"]), "char")).orderBy("type", "rank").collect()
     assert [(r.type, r.reference, r.hypothesis, r["count"]) for r in f] == [("delete", "b", "", 1), ("substitute", "b", "x", 2)]
     with pytest.raises(ValueError):
@@ -165,9 +165,23 @@ def test_transcripts(spark):
     assert g.parse_transcript(json.loads(JSON), "json")["provenance"]["timestamps"] == [{"start": 0, "end": 1.5}]
     bad = [("json", '{"segments": null, "text": "a"}'), ("json", '{"segments": [{"text": "a", "start": 1}], "text": "a"}'), ("json", '{"text": "a", "duration_s": true}'), ("json", '{"text":"a","duration_s":NaN}'),
            ("srt", "00:00:02,000 --> 00:00:01,000\nx"), ("srt", "00:61:00,000 --> 00:62:00,000\nx"), ("srt", ""), ("tsv", "start\tend\ttext\nnan\t1\tx"), ("tsv", "start\tend\ttext\n1\t2"), ("text", b"\xff")]
+    bad += [("tsv", "\nstart\tend\ttext\n0\t1\tx"), ("tsv", "start\tend\ttext\n \t \t "), ("tsv", "start\tend\ttext\n\t\t\t"), ("json", '{"segments": [{"text": "a", "start": 0, "end": 1}, {"text": "b"}], "text": "a"}'), ("json", "[]"),
+            ("srt", "1"), ("srt", "1\n\n00:00:00,000 --> 00:00:01,000\nx"), ("srt", "00:00:00,000 --> 00:00:01,000\n\nx"), ("srt", "00:00:00,000 --> 00:00:01,000\nx\n00:00:02,000-->00:00:03,000\ny"), ("json", '{"segments": []}')]
     for kind, data in bad:
         with pytest.raises(g.TranscriptFormatError):
             g.parse_transcript(data, kind)
+    assert g.parse_transcript("00:00:00,000-->00:00:01,000\r\n a\tb \r\n \r\n", "srt") == {
+        "source_format": "srt", "text": "a b",
+        "provenance": {"segment_count": 1, "text_source": "cue_text", "timestamp_unit": "srt_timecode", "timestamps": [{"start": "00:00:00,000", "end": "00:00:01,000"}]},
+    }
+    assert g.parse_transcript(JSON.encode("utf-8-sig"), "json")["provenance"] == {
+        "json_text_policy": "text", "text_source": "top_level_text", "metadata": {"model": "m"}, "segment_count": 1, "timestamps": [{"start": 0, "end": 1.5}],
+    }
+    assert g.parse_transcript('start\tend\ttext\n\n\t\t\n 0 \t1\t"a ""q""\n b"\n', "tsv")["text"] == 'a "q" b'
+    from glosswerk.sources.transcripts import segments
+
+    rows = segments(g.parse_transcripts(spark.createDataFrame([(7, "json", JSON), (8, "tsv", TSV), (9, "txt", "x"), (10, "srt", "x")], "id long, source_format string, content string"))).orderBy("id", "segment").collect()
+    assert [(r.id, r.segment, r.start, r.end, r.text) for r in rows] == [(7, 0, "0", "1.5", "오늘"), (8, 0, "0", "1", "오늘 날씨가"), (8, 1, "1", "2", ""), (8, 2, "2", "3", "맑습니다")]
     with pytest.raises(TypeError):
         g.parse_transcript({"text": "a"}, "srt")
     with pytest.raises(ValueError):
@@ -183,7 +197,10 @@ def test_report_and_sql(spark):
 
     register(spark)
     assert spark.sql("SELECT gw_cer('ab', 'ac') c, gw_wer('a b', 'a') w, gw_edit_counts('ab', 'ba').substitutions s").first()[:] == (0.5, 0.5, 2)
-    assert spark.sql(f"SELECT count(*) FROM gw_segments('{SRT}', 'srt')").first()[0] == 2
+    assert [tuple(r) for r in spark.sql(f"SELECT * FROM gw_segments('{SRT}', 'srt') ORDER BY segment").collect()] == [
+        (0, "00:00:00,000", "00:00:01,000", "오늘 날씨가"), (1, "00:00:01,000", "00:00:02,000", "맑습니다"),
+    ]
+    assert [r.text for r in spark.sql("SELECT * FROM gw_segments('{\"segments\": [{\"text\": \"a  b\"}]}', 'json')").collect()] == ["a b"]
 
 
 def test_stream(spark, tmp_path):
@@ -196,3 +213,127 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT utterances, cer.micro FROM gw_windows ORDER BY window.start").collect()
     assert [tuple(r) for r in got] == [(2, 0.25), (1, 1.0)] and math.isfinite(got[0][1])
+
+
+def test_lists(spark):
+    from glosswerk import lists
+
+    got = lists.evaluate_corpus(["가나", "다라"], (x for x in ["가마", "다라바"]))
+    assert got["cer"] == {"micro": 0.4, "macro": pytest.approx(5 / 12), "hits": 3, "substitutions": 1, "deletions": 0, "insertions": 1} and got["utterances"] == 2
+    k = lists.evaluate_keywords(["삼성전자의 발표와 삼성전자", "애플은"], ["삼성전자의 발표", "애플은 삼성전자"], {"ORG": {"삼성전자": 1, "애플": 2}.keys()})
+    assert k["keywords"]["삼성전자"]["f1"] == 0.5 and k["labels"]["ORG"]["f1"] == pytest.approx(2 / 3) and k["keywords"]["애플"]["label"] == "ORG" and k["summary"]["true_positives"] == 2
+    assert "labels" not in lists.evaluate_keywords(["a"], ["a"], {"a", "b"})
+    e = lists.evaluate_entities(["삼성전자의 갤럭시 S26 발표"], ["삼성전다의 갤럭시 S26 발표와 애플"], {"회사": ("삼성전자", "애플"), "제품": "갤럭시 S26"}, aliases={" 애플 ": ["사과"]})
+    assert e["entity_cer"]["micro"] == 0.1 and [x["type"] for x in e["errors"]] == ["misrecognition", "addition"] and e["aliases_enabled"] and e["entities"]["애플"]["aliases"] == ["사과"]
+    c = lists.calculate_keyword_error_rate_with_pattern(["가 나", "가"], ["가", "가"], ["가", "나"], None)
+    assert c["summary"] == {"total_keywords": 3, "correct_keywords": 2, "incorrect_keywords": 1, "keyword_error_rate": 0.3333}
+    assert lists.make_keyword_pattern("C++").search("C++ 언어")
+    r = lists.evaluate_transcript("가나", g.parse_transcript('{"text": "가다", "model": "m"}', "json"))
+    assert r["metrics"]["cer"]["value"] == 0.5 and r["provenance"]["source"]["details"]["metadata"] == {"model": "m"} and "가" not in json.dumps(r, ensure_ascii=False)
+    for bad in (("ab", ["a"]), (["a"], b"a"), ([1], ["a"]), (None, [])):
+        with pytest.raises(TypeError):
+            lists.evaluate_corpus(*bad)
+    for bad in ((["a"], []), ([], [])):
+        with pytest.raises(ValueError):
+            lists.evaluate_corpus(*bad)
+    for bad in ((1, {}), ("a", []), ("a", {"source_format": "text", "text": 1}), ("a", {"source_format": "text", "text": "a", "provenance": {"x": math.nan}}), ("a", {"source_format": "text", "text": "a", "provenance": {"x": object()}})):
+        with pytest.raises(TypeError):
+            lists.evaluate_transcript(*bad)
+    with pytest.raises(ValueError):
+        lists.evaluate_entities(["a"], ["a"], "삼성전자", aliases={"삼성 전자": "x"})
+
+
+def plain_mentions(text_, names, suffixes):
+    """(entity, start, end) of the longest of the leftmost mentions, by looking at every place."""
+    ok = lambda c: bool(c) and not (c.isascii() and c.isalnum() or "가" <= c <= "힣")
+    spans, at = [], 0
+    while at < len(text_):
+        best = None
+        for k, name in enumerate(names):
+            if text_.startswith(name, at) and (at == 0 or ok(text_[at - 1])):
+                end = at + len(name)
+                if any(text_.startswith(s, end) and (end + len(s) == len(text_) or ok(text_[end + len(s)])) for s in ("", *suffixes)) and (best is None or end > best[2]):
+                    best = (k, at, end)
+        spans += [best] if best else []
+        at = best[2] if best else at + 1
+    return spans
+
+
+def test_entity_tables_against_plain_python(spark):
+    """All tables over a small corpus, from mentions found place by place and edits aligned cell by cell."""
+    import random
+
+    rnd = random.Random(7)
+    names, labels = ["kato", "mira", "lu"], ["a", "b", "b"]
+    rows = []
+    for k in range(60):
+        ref = [rnd.choice([*names, "xo", "yy", "kat", "lumi"]) for _ in range(rnd.randint(0, 7))]
+        hyp = [w if rnd.random() < 0.7 else rnd.choice([w[1:], w + "z", "", "mira"]) for w in ref]
+        rows.append((k, " ".join(ref), " ".join(filter(None, hyp))))
+    out = g.evaluate_entities(spark.createDataFrame(rows, PAIR), {"a": ["kato"], "b": ["mira", "lu"]}, josa_list=[], eomi_list=[])
+    want = {n: dict.fromkeys(("r", "h", "tp", "fp", "fn", "hits", "substitutions", "deletions", "insertions"), 0) for n in names}
+    rates_ = []
+    for _, ref, hyp in rows:
+        spans, other = plain_mentions(ref, names, []), plain_mentions(hyp, names, [])
+        for k, n in enumerate(names):
+            r, h = sum(s[0] == k for s in spans), sum(s[0] == k for s in other)
+            for key, x in (("r", r), ("h", h), ("tp", min(r, h)), ("fp", max(h - r, 0)), ("fn", max(r - h, 0))):
+                want[n][key] += x
+        flat, place = "", []
+        for at, c in enumerate(ref):
+            if c != " ":
+                flat += c
+                place.append(next((x for x, s in enumerate(spans) if s[1] <= at < s[2]), -1))
+        counts = [dict.fromkeys(("equal", "substitute", "delete", "insert"), 0) for _ in spans]
+        at = 0
+        for kind, *_ in edit.alignment(flat, hyp.replace(" ", "")):
+            if kind == "insert":
+                own = place[at] if 0 < at < len(place) and place[at] == place[at - 1] else -1
+            else:
+                own, at = place[at], at + 1
+            if own >= 0:
+                counts[own][kind] += 1
+        for (k, _, _), c in zip(spans, counts):
+            for a, b in (("hits", "equal"), ("substitutions", "substitute"), ("deletions", "delete"), ("insertions", "insert")):
+                want[names[k]][a] += c[b]
+            rates_.append((sum(c.values()) - c["equal"]) / sum(c.values()))
+    cols = ("reference_count", "hypothesis_count", "true_positives", "false_positives", "false_negatives", "hits", "substitutions", "deletions", "insertions")
+    assert {r.name: tuple(r[c] for c in cols) for r in out["entities"].collect()} == {n: tuple(x.values()) for n, x in want.items()}
+    b = tuple(x + y for x, y in zip(want["mira"].values(), want["lu"].values()))
+    assert {r.label: tuple(r[c] for c in cols) for r in out["labels"].collect()} == {"a": tuple(want["kato"].values()), "b": b}
+    s = out["summary"].first()
+    assert tuple(s[c] for c in cols) == tuple(x + y for x, y in zip(b, want["kato"].values())) and s.macro == pytest.approx(sum(rates_) / len(rates_))
+    kinds = {r["type"]: r["count"] for r in out["errors"].groupBy("type").count().collect()}
+    assert kinds["addition"] == s.false_positives and kinds["misrecognition"] > 0 and kinds["omission"] > 0
+
+
+def test_frequency_ranks(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(k % 2, [("substitute", rnd.choice("abc") * rnd.randint(1, 4), rnd.choice("xyz")) for _ in range(20)] + [("equal", "a", "a"), ("insert", "", "q")]) for k in range(12)]
+    df = spark.createDataFrame(rows, "g long, alignment array<struct<type:string,reference:string,hypothesis:string>>")
+    for by in ((), ("g",)):
+        from collections import Counter
+
+        n = Counter((*((k,) if by else ()), *e) for k, own in rows for e in own if e[0] != "equal")
+        got = g.error_frequencies(df, by).collect()
+        for part in {key[: len(by) + 1] for key in n}:
+            order = sorted((key for key in n if key[: len(by) + 1] == part), key=lambda key: (-n[key], key[-2:]))
+            own = sorted((r for r in got if tuple(r[c] for c in (*by, "type")) == part), key=lambda r: r["rank"])
+            assert [(*part, r.reference, r.hypothesis) for r in own] == order and [r["rank"] for r in own] == list(range(1, len(order) + 1))
+
+
+def test_long_and_blocked_alignment(monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    a = "".join(rnd.choice("abcdef") for _ in range(6000))
+    b = a[:1000] + "zz" + a[1000:2500] + a[2540:4000] + "y" + a[4001:]
+    whole = edit.alignment(a, b)
+    n = [sum(x[0] == k for x in whole) for k in ("equal", "substitute", "delete", "insert")]
+    assert tuple(n) == edit.counts(a, b) and sum(n[1:]) <= 44
+    monkeypatch.setattr(edit, "_STEPS", 10_000)
+    assert edit.alignment(a, b) == whole
+    assert edit.counts("a" * 50_000 + "b", "c" + "a" * 50_000) == (49_999, 2, 0, 0)
+    assert edit.counts_by_batch([None, ("", ""), ("ab", ""), ("", "ab"), None]) == [(None,) * 4, (0, 0, 0, 0), (0, 0, 2, 0), (0, 0, 0, 2), (None,) * 4]
