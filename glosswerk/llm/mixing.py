@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_long, require, stored, token_count
+from .common import col, cols, id_type, md5_long, require, stored, token_count
 
 #: The production parameters of the registered query.
 ENTROPY, REPEATS, BLOCK, SEED = 0.998, 4.0, 4096, 17
 
 
 def exponent(tokens: np.ndarray, entropy: float, repeats: float, budget: float, rounds: int = 60) -> float:
-    """The exponent for shares of tokens; ``entropy`` is a fraction of the greatest possible."""
+    """The exponent for shares of tokens; ``entropy`` is a fraction of the greatest possible.
+
+    Raises ValueError if the budget is more than ``repeats`` times all tokens, which no weights can meet.
+    """
+    if budget > repeats * tokens.sum():
+        raise ValueError("the budget repeats the sources more often than the limit allows, whatever their weights")
     total = tokens.sum()
     share, goal = tokens / total, entropy * math.log(len(tokens))
 
@@ -50,7 +55,7 @@ def exponent(tokens: np.ndarray, entropy: float, repeats: float, budget: float,
 
 def _source(docs: DataFrame, source_col: str) -> Column:
     """The source as a key that tells NULL from any text."""
-    return F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), col(docs, source_col).cast("string")), F.lit("n"))
 
 
 def _keys(seed: int, epoch: Column | str) -> tuple[Column, Column]:
@@ -64,6 +69,8 @@ def _block(seed: int) -> Column:
 
 def plan(slim: DataFrame, entropy: float, repeats: float, budget: int | None, block_docs: int, seed: int) -> DataFrame:
     """For each source its blocks, whole epochs, and where the last epoch is cut, from ``(__gw_id, __gw_s, tokens)``."""
+    if budget is not None and budget > repeats * (slim.agg(F.sum("tokens")).first()[0] or 0) > 0:
+        raise ValueError("the budget repeats the sources more often than the limit allows, whatever their weights")
     sums = slim.groupBy("__gw_s").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).where("n > 0")
 
     def weigh(batches):
@@ -115,7 +122,7 @@ def _copies(seed: int) -> Column:
 def _slim(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     require(docs, id_col, source_col, text_col)
     return stored(
-        docs.select(docs[id_col].cast("string").alias("__gw_id"), _source(docs, source_col).alias("__gw_s"), token_count(docs[text_col]).alias("tokens")),
+        docs.select(col(docs, id_col).cast("string").alias("__gw_id"), _source(docs, source_col).alias("__gw_s"), token_count(col(docs, text_col)).alias("tokens")),
         "mix-docs",
     )
 
@@ -128,6 +135,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     NULL is a source of its own.  Documents without tokens (NULL, empty, blank) ride along with
     their block; sources without any token, and so empty tables, give nothing.  Rows of the same id
     have the same hash: they are drawn together and share a position.  A NULL id counts as one id.
+    Sources of equal tokens have equal weights.  Ids keep their type.  A budget beyond ``repeats`` times all tokens
+    raises ValueError.  Texts of any length are counted whole; other columns are ignored, whatever their names.
     """
     slim = _slim(docs, id_col, source_col, text_col)
     found = slim.join(plan(slim, entropy, repeats, budget, block_docs, seed), "__gw_s").withColumn("__gw_block", _block(seed))
@@ -135,7 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     _, doc_key = _keys(seed, "epoch")
     order = Window.partitionBy("__gw_s", "epoch", "__gw_block").orderBy("dk")
     return found.withColumn("dk", doc_key).select(
-        F.col("__gw_id").cast("long").alias("doc_id"),
+        F.col("__gw_id").cast(id_type(docs, id_col)).alias("doc_id"),
         F.when(F.col("__gw_s") != "n", F.expr("substring(__gw_s, 2)")).alias("source"),
         "epoch",
         F.col("__gw_block").alias("block"),
@@ -145,10 +154,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_docs: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as many times as :func:`mix` has copies of it; columns are unchanged."""
+    """The rows of ``docs``, each as many times as :func:`mix`, which see for NULLs and the like, has copies of it; columns are unchanged."""
     slim = _slim(docs, id_col, source_col, text_col)
     table = plan(slim, entropy, repeats, budget, block_docs, seed)
-    own = docs.select(*[docs[c].alias(f"__gw_{k}") for k, c in enumerate(docs.columns)], docs[id_col].cast("string").alias("__gw_id"), _source(docs, source_col).alias("__gw_s"))
+    own = docs.select(*[c.alias(f"__gw_{k}") for k, c in enumerate(cols(docs))], col(docs, id_col).cast("string").alias("__gw_id"), _source(docs, source_col).alias("__gw_s"))
     both = own.join(table, "__gw_s").withColumn("__gw_block", _block(seed))
     both = both.withColumn("__gw_copies", _copies(seed)).where("__gw_copies > 0").withColumn("__gw_copy", F.explode(F.sequence(F.lit(1), F.col("__gw_copies"))))
     return both.select(*[F.col(f"__gw_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -9,10 +9,12 @@ first, into the open bin that fits under every constraint and has
 * the greatest weighted dot product of demand and residual (``rule="dot"``);
 
 ties go to the oldest bin, and without a bin that fits a new one opens.  Documents longer than a
-bin holds are cut into pieces.
+bin holds are cut into pieces of the length of which bins can be filled best: as many to a bin as
+leave the least of it.
 
-Best fit is sequential, so documents are hashed to shards of about ``shard_docs``, each packed on
-its own.  A shard leaves a few bins unfilled, whatever the size of the input.
+Best fit is sequential, so pieces are hashed to shards of about ``shard_docs``, each packed on
+its own.  Rows that repeat an id and pieces of one document go to shards of their own hashes, so none is
+larger for them.  A shard leaves a few bins unfilled, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, stored, token_count
+from .common import col, id_type, require, stored, token_count
 
 CAPACITY, MAX_DOCS, MAX_ATTENTION, SHARD = 8192, 64, 8192 * 8192 // 2, 4096
-SCHEMA = "bin_id long, doc_id long, piece int, start long, tokens long"
 
 
 def pack(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, rule: str = "norm", weights=(1.0, 1.0, 1.0)) -> np.ndarray:
@@ -53,46 +54,50 @@ def pack(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int,
     return bins
 
 
-def pieces(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each piece's document (by position), number and length."""
-    parts = -(-tokens // longest)
-    doc = np.repeat(np.arange(len(tokens)), parts)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return doc, number, np.minimum(tokens[doc] - number * longest, longest)
+def piece_length(capacity: int, max_docs: int, max_attention: int) -> int:
+    """The length of the pieces of long documents: that of which k fill a bin best, for the least such k."""
+    best = (0, 0)
+    for k in range(1, max_docs + 1):
+        own = min(capacity // k, math.isqrt(max_attention // k))
+        if own and k * own > best[0]:
+            best = (k * own, own)
+        if k * own == capacity:
+            break
+    return best[1]
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_attention: int = MAX_ATTENTION, rule: str = "norm", weights=(1.0, 1.0, 1.0), shard_docs: int = SHARD) -> DataFrame:
     """``(bin_id, doc_id, piece, start, tokens)`` for each piece: the tokens of the document from ``start`` on.
 
     Tokens are counted by :func:`~.common.token_count`.  Documents without any (NULL, empty, blank)
-    have no piece.  Repeated rows are packed each; a NULL id is kept as one.  An empty table gives
+    have no piece.  Repeated rows are packed each; a NULL id is kept as one.  Documents that a bin holds stay whole, longer
+    ones of any length are cut.  Pieces of equal length go by id, then by number.  Ids keep their type.  An empty table gives
     an empty one.  Other columns are ignored, whatever their names.
     """
     require(docs, id_col, text_col)
     longest = min(capacity, math.isqrt(max_attention))
     if longest < 1 or max_docs < 1 or rule not in ("norm", "dot"):
         raise ValueError("capacities must hold a token, and rule be 'norm' or 'dot'")
-    slim = stored(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(F.col(text_col)).alias("tokens")).where("tokens > 0"),
-        "pack-docs",
-    )
-    n, total = slim.agg(F.count("*"), F.sum("tokens")).first()
-    shards = max(1, math.ceil(max(n / shard_docs, (total or 0) / longest / shard_docs)))
+    part = piece_length(capacity, max_docs, max_attention)
+    counted = docs.select(col(docs, id_col).alias("doc_id"), token_count(col(docs, text_col)).alias("tokens")).where("tokens > 0")
+    same = stored(counted.groupBy("doc_id", "tokens").agg(F.count("*").alias("copies")), "pack-docs")
+    parts = F.when(F.col("tokens") <= longest, F.lit(1)).otherwise(F.ceil(F.col("tokens") / F.lit(part))).cast("long")
+    total = same.agg(F.sum(parts * F.col("copies"))).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_docs))
+    cut = (
+        same.select("doc_id", "tokens", parts.alias("parts"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+        .select("doc_id", "tokens", "parts", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("piece"))
+        .select(
+            "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * part).alias("start"),
+            F.when(F.col("parts") == 1, F.col("tokens")).otherwise(F.least(F.col("tokens") - F.col("piece") * part, F.lit(part).cast("long"))).alias("tokens"),
+            F.pmod(F.xxhash64(F.lit(29), F.col("doc_id").cast("string"), "tokens", "copy", "piece"), F.lit(shards)).alias("shard"),
+        )
+    )
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
-        tokens, shard = np.asarray(table.column("tokens")).astype(np.int64), table.column("shard")[0].as_py()
-        doc, number, length = pieces(tokens, longest)
-        order = np.lexsort((number, doc, -length))
-        doc, number, length = doc[order], number[order], length[order]
-        bins = pack(length, capacity, max_docs, max_attention, rule, weights)
-        return pa.table({
-            "bin_id": pa.array((np.int64(shard) << 32) + bins),
-            "doc_id": table.column("doc_id").combine_chunks().take(pa.array(doc)),
-            "piece": pa.array(number.astype(np.int32)),
-            "start": pa.array(number * longest),
-            "tokens": pa.array(length),
-        })
-
-    shard = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(shards))
-    return slim.withColumn("shard", shard).groupBy("shard").applyInArrow(one, SCHEMA)
+        table = table.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins = pack(np.asarray(table.column("tokens")).astype(np.int64), capacity, max_docs, max_attention, rule, weights)
+        where = (np.int64(table.column("shard")[0].as_py()) << 32) + bins
+        return pa.table({"bin_id": pa.array(where), **{c: table.column(c) for c in ("doc_id", "piece", "start", "tokens")}})
+
+    return cut.groupBy("shard").applyInArrow(one, f"bin_id long, doc_id {id_type(docs, id_col)}, piece int, start long, tokens long")

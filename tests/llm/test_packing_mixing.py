@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswerk.llm import mixing
-from glosswerk.llm.packing import pack, packed, pieces
+from glosswerk.llm.packing import pack, packed, piece_length
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,16 +58,38 @@ def test_packed(spark):
             want[i] = want.get(i, 0) + len(text.split())
     assert whole == want and len({r.bin_id >> 32 for r in got}) > 3
     one = sorted((r for r in got if r.doc_id == 400), key=lambda r: r.piece)
-    longest = math.isqrt(256 * 128)
-    assert [r.start for r in one] == [k * longest for k in range(len(one))] and sum(r.tokens for r in one) == 5000
+    assert piece_length(256, 6, 256 * 128) == 128
+    assert [r.start for r in one] == [k * 128 for k in range(len(one))] and sum(r.tokens for r in one) == 5000
     assert packed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packed(docs, rule="best")
 
 
-def test_pieces():
-    doc, number, length = pieces(np.array([3, 10, 4]), 4)
-    assert doc.tolist() == [0, 1, 1, 1, 2] and number.tolist() == [0, 0, 1, 2, 0] and length.tolist() == [3, 4, 4, 2, 4]
+def test_piece_length():
+    assert piece_length(8192, 64, 8192 * 8192 // 2) == 4096 and piece_length(100, 9, 10**6) == 100 and piece_length(100, 1, 400) == 20
+    for capacity, docs, attention in ((100, 7, 3000), (64, 64, 100), (10, 3, 10)):
+        fill = max((k * n, -k, n) for k in range(1, docs + 1) for n in range(1, capacity + 1) if k * n <= capacity and k * n * n <= attention)
+        own = piece_length(capacity, docs, attention)
+        assert own * min(docs, capacity // own, attention // own**2) >= fill[0]
+
+
+def test_fill_and_hot_rows(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(["x"] * min(3000, int(rnd.paretovariate(0.6) * 20))), "en", "s", 0) for i in range(3000)]
+    rows += [(None, "a b c", "", "", 0)] * 1500 + [(7, rows[7][1], "", "", 0)] * 500 + [(9000, "y " * 300_000, "", "", 0)]
+    got = packed(spark.createDataFrame(rows, DOCS), shard_docs=512).collect()
+    bins, shards = {}, {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.tokens)
+        shards[r.bin_id >> 32] = shards.get(r.bin_id >> 32, 0) + 1
+    assert all(sum(b) <= 8192 and len(b) <= 64 and sum(x * x for x in b) <= 8192 * 8192 // 2 for b in bins.values())
+    assert sum(r.tokens for r in got) == sum(len(r[1].split()) for r in rows)
+    assert max(shards.values()) < 700 and sum(r.doc_id is None for r in got) == 1500
+    prose = [(i, "x " * rnd.randint(50, 3000), "en", "s", 0) for i in range(1000)] + [(9000, "y " * 300_000, "", "", 0)]
+    fill = [(r.bin_id, r.tokens) for r in packed(spark.createDataFrame(prose, DOCS), shard_docs=512).collect()]
+    assert sum(t for _, t in fill) / (8192 * len({b for b, _ in fill})) >= 0.95
+    named = spark.createDataFrame([("u-1", "a b"), ("u-2", "c")], "id string, text string").withColumn("a.b", F.lit(1))
+    assert sorted((r.doc_id, r.tokens) for r in packed(named, "id").collect()) == [("u-1", 2), ("u-2", 1)]
 
 
 def test_exponent_meets_targets():
@@ -82,6 +104,8 @@ def test_exponent_meets_targets():
     q /= q.sum()
     assert (q * tokens.sum() / tokens).max() == pytest.approx(3.0, abs=1e-9)
     assert mixing.exponent(np.array([5.0]), 0.5, 2, 5.0) == 1.0
+    with pytest.raises(ValueError):
+        mixing.exponent(tokens, 0.5, 2.0, 10 * tokens.sum())
 
 
 def test_mixture(spark):
@@ -89,7 +113,9 @@ def test_mixture(spark):
     rows = [(i, " ".join("x" * rnd.randint(1, 40)), "en", "big", 0) for i in range(600)]
     rows += [(1000 + i, " ".join("x" * rnd.randint(1, 40)), "en", "small", 0) for i in range(60)]
     rows += [(2000 + i, "a b c", "en", None, 0) for i in range(20)] + [(3000, None, "en", "small", 0), (3001, "", "", "none", 0), (None, "q", "", "small", 0)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("bk", F.lit(1)).withColumn("epoch", F.lit("x")).withColumn("upto", F.lit(1))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("bk", F.lit(1)).withColumn("epoch", F.lit("x")).withColumn("upto", F.lit(1)).withColumn("meta.url", F.lit(1)).withColumn("__gw_kept", F.lit(1))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, budget=10**9)
     got = mixing.mix(docs, entropy=0.8, repeats=4.0, block_docs=16).collect()
     count = lambda t: len(t.split()) if t else 0
     own = {}
