@@ -11,13 +11,13 @@ The leaves are templates.  A template's purity is its share of good pages among
 smoothed towards that of all labelled pages as by ``prior`` more of them.  Templates of at least
 ``min_labelled`` labelled pages and a purity under ``least`` are rejected, with all their pages.
 
-A level of the tree is an aggregation of distinct paths by (host, prefix, segment): no step needs
-a host's pages in one place.  Segments beyond ``depth`` are one, ``**``.
+A level of the tree is an aggregation of distinct paths by (host, prefix, segment), and another one of its result
+by (host, prefix); both combine before they shuffle and are joined back, so no step needs a host's pages in one place.  Segments beyond ``depth`` are one, ``**``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, id_type, require, stored
@@ -34,49 +34,49 @@ def templates(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_
 
     ``labels`` has ``(page_id, good)`` with 0 or 1; NULLs are left out, and of an id's labels the
     least counts.  NULL urls and those without scheme and host have a NULL host and template and
-    aren't rejected.  Repeated rows count and are given each.  Without labels nothing is rejected.
+    aren't rejected.  Repeated rows count and are given each.  Without labels nothing is rejected.  Ids keep their type.
+    An empty table gives an empty one.  Urls of any length and depth are read whole; other columns are ignored, whatever their names.
     """
     require(pages, id_col, url_col)
     require(labels, "page_id", "good")
-    url = F.col(url_col).cast("string")
+    url = col(pages, url_col).cast("string")
     host = F.lower(F.regexp_extract(url, _HOST, 1))
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, _PATH, 1), _HEX, "{h}"), "[0-9]+", "{n}")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     short = F.when(F.size("segments") > depth, F.concat(F.slice("segments", 1, depth - 1), F.array(F.lit("**")))).otherwise(F.col("segments"))
     mark = (
-        labels.select(F.col("page_id").cast("long").alias("page_id"), (F.col("good").cast("int") > 0).cast("long").alias("good"))
+        labels.select(F.col("page_id").cast(id_type(pages, id_col)).alias("page_id"), (F.col("good").cast("int") > 0).cast("long").alias("good"))
         .where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good"))
     )
-    rows = cut(
-        pages.select(F.col(id_col).cast("long").alias("page_id"), F.nullif(host, F.lit("")).alias("host"), segments.alias("segments"))
+    rows = stored(
+        pages.select(col(pages, id_col).alias("page_id"), F.nullif(host, F.lit("")).alias("host"), segments.alias("segments"))
         .select("page_id", "host", F.when(F.col("host").isNotNull(), short).alias("path"))
-        .join(mark, "page_id", "left")
+        .join(mark, "page_id", "left"),
+        "url-pages",
     )
     total = rows.where("host IS NOT NULL").agg(F.count("good").alias("n"), F.sum("good").alias("k")).first()
     overall = total["k"] / total["n"] if total["n"] else 1.0
-    sums = [F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good")]
+    sums = [F.sum("labelled").alias("labelled"), F.sum("good").alias("good")]
     tree = rows.where("host IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     tree = tree.withColumn("template", F.lit(""))
-    node = Window.partitionBy("host", "template")
-    for k in range(depth):
+    tree = stored(tree, "url-tree")
+    deepest = min(depth, tree.agg(F.max(F.size("path"))).first()[0] or 0)
+    for k in range(deepest):
         segment = F.get("path", F.lit(k))
         tree = tree.withColumn("segment", segment)
-        children = (
-            tree.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-            .select(
-                "host", "template", "segment", "labelled", "good",
-                F.count("*").over(node).alias("branches"), F.sum("labelled").over(node).alias("n"), F.sum("good").over(node).alias("k"),
-            )
-        )
+        children = tree.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
+        nodes = children.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("labelled").alias("n"), F.sum("good").alias("k"))
+        children = children.join(nodes, ["host", "template"])
         rate = (F.col("k") + F.lit(prior) * F.lit(overall)) / (F.col("n") + F.lit(prior))
         off = F.abs(F.col("good") - F.col("labelled") * rate)
         bound = F.when(F.col("branches") > max_branch, F.lit(z * far)).otherwise(F.lit(z)) * F.sqrt(F.col("labelled") * rate * (F.lit(1.0) - rate))
         own = (F.col("branches") == 1) | ((F.col("labelled") >= min_labelled) & (off > bound))
         named = children.select("host", "template", "segment", F.concat("template", F.lit("/"), F.when(own, F.col("segment")).otherwise(F.lit("*"))).alias("longer"))
         tree = tree.join(named, ["host", "template", "segment"], "left").select("host", "path", "pages", "labelled", "good", F.coalesce("longer", "template").alias("template"))
-    leaf = Window.partitionBy("host", "template")
+        tree = stored(tree, "url-tree")
+    leaves = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
     purity = (F.col("good") + F.lit(prior) * F.lit(overall)) / (F.col("labelled") + F.lit(prior))
-    scored = tree.select("host", "path", "template", *[F.sum(c).over(leaf).alias(c) for c in ("pages", "labelled", "good")]).withColumn("purity", purity)
+    scored = tree.select("host", "path", "template").join(leaves, ["host", "template"]).withColumn("purity", purity)
     return rows.join(scored, ["host", "path"], "left").select(
         "page_id", "host", "template", "pages", "labelled", "purity",
         F.coalesce((F.col("labelled") >= min_labelled) & (F.col("purity") < least), F.lit(False)).alias("rejected"),
