@@ -243,7 +243,7 @@ def test_phrase_groups_against_all_pairs(spark):
 def test_secrets_ledger(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = [("a", 1, f"x {key} y"), ("a", 2, "nothing"), ("b", 1, f"x {key} y"), ("c", 1, None), ("d", 1, ""), (None, None, "password=abcdefgh1"), ("a", 1, f"x {key} y")]
-    history = spark.createDataFrame(rows, "path string, version long, content string").withColumn("blob", F.lit(1)).withColumn("seen", F.lit(1))
+    history = spark.createDataFrame(rows, "path string, version long, content string").withColumn("blob", F.lit(1)).withColumn("seen", F.lit(1)).withColumn("a.b", F.lit(1))
     ledger = secrets.Ledger(spark, fresh_path(spark, "ledger"))
     found = ledger.update(history).collect()
     assert sorted(((r.path, r.version, r.rule) for r in found), key=str) == sorted([("a", 1, "aws-key"), ("a", 1, "aws-key"), ("b", 1, "aws-key"), (None, None, "password")], key=str)
@@ -253,11 +253,28 @@ def test_secrets_ledger(spark):
     assert done.count() == 0 and hits.count() == 0
     later = spark.createDataFrame([("e", 1, "token = abcdefghijklmnop1"), ("f", 1, "nothing")], "path string, version long, content string")
     assert [r.path for r in ledger.update(later).collect()] == ["e"] and ledger.pairs().count() == n + len(secrets.RULES)
-    changed = tuple(r._replace(version=2, anchors=("noth",), pattern="noth[a-z]*") if r.name == "slack" else r for r in secrets.RULES)
-    assert [(r.path, r.rule_version) for r in ledger.update(later, changed).where("rule = 'slack'").collect()] == [("f", 2)]
+    changed = tuple(r._replace(version=3, anchors=("noth",), pattern="noth[a-z]*") if r.name == "slack" else r for r in secrets.RULES)
+    assert [(r.path, r.rule_version) for r in ledger.update(later, changed).where("rule = 'slack'").collect()] == [("f", 3)]
     assert ledger.update(history.limit(0)).count() == 0
 
 
+def test_secret_names():
+    import re
+
+    found = lambda text: [r.name for r in secrets.RULES if any(a in text for a in r.anchors) and re.search(r.pattern, text)]
+    key = "abcdefghijklmnop12"
+    for text, rule in ((f"aws_secret_access_key = {key}", "token"), ('{"password": "hunter2hunter"}', "password"), (f"Api-Key: {key}", "token"), (f"API-KEY={key}", "token"), (f"apiKey = '{key}'", "token"), (f"auth_token_v2:{key}", "token"), ("PWD=aaaabbbbcc", "password")):
+        assert found(text) == [rule], text
+    assert not found("the secret of the token is short: no") and not found("")
+
+
+def test_secrets_of_documents(spark):
+    rows = [(1, "Api-Key: abcdefghijklmnop12", "en", "s", 0), (2, "password=abcdefgh1", "en", "s", 0), (3, None, "en", "s", 0), (4, "password=abcdefgh1", "en", "t", 0), (5, "x " * 50000 + "token=abcdefghijklmnop12", "en", None, 0)]
+    got = secrets.document_secrets(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.path, r.rule, r.rule_version) for r in got) == [(1, "s/0", "token", 2), (2, "s/0", "password", 2), (4, "t/1", "password", 2), (5, "1", "token", 2)]
+    assert len({r.blob for r in got}) == 3
+
+
 def test_urls(spark):
     pages, labels = [], []
     for i in range(60):
@@ -265,7 +282,7 @@ def test_urls(spark):
         pages.append((i, f"https://Site.example/{kind}/{i}?q=1#x", "h"))
         labels.append((i, int(kind != "spam")))
     pages += [(100, None, None), (101, "no url", ""), (102, "https://other.example", ""), (None, "https://site.example/good/9", ""), (103, "https://deep.example/" + "/".join("abcdefghij"), ""), (5, "https://site.example/good/1", "")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("good", F.lit("x")).withColumn("path", F.lit(0))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("good", F.lit("x")).withColumn("path", F.lit(0)).withColumn("a.b", F.lit(0))
     got = urls.templates(df, spark.createDataFrame(labels + [(None, 1), (100, None)], "page_id long, good int")).collect()
     by = {r.page_id: r for r in got if r.page_id not in (None, 5)}
     assert len(got) == len(pages)
@@ -300,6 +317,10 @@ def test_token_counts(spark):
     rows = [(1, "Hello world, it's <|endoftext|> 12 of them", "", "", 0), (2, None, None, None, None), (3, "", "", "", 0), (None, "x y", "", "", 0), (1, "twice", "", "", 0), (4, "long " * 20000, "", "", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("file", F.lit(1)).withColumn("document", F.lit("x"))
     encode = tokens.encoder()
+    with pytest.raises(ValueError):
+        tokens.ranks(eod=0)
+    with pytest.raises(ValueError):
+        tokens.ranks(eod=1 << 16)
     got = sorted(((r.doc_id or 0, r.tokens) for r in tokens.token_counts(docs, block=64).collect()))
     assert got == sorted(((i or 0), len(encode(t)) if t else 0) for i, t, *_ in rows)
     assert tokens.token_counts(docs.limit(0)).count() == 0
