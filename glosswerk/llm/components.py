@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stored, made
+from .cells import union
+from .common import made, remove, stored
 
+#: Edges, 16 bytes each, that are joined on the driver: for so few a round of jobs costs more than the whole.
+LOCAL = 10_000
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """``(id, root)`` for each id in ``edges(a, b)``: root is the least id of its component.
 
     Every round links neighbours to a node's least neighbour: first the larger ones, then the
     smaller ones and the node itself.  Both steps keep connectivity; they end in stars.  Each
     round's table is written to the shared folder, so a lost executor costs one round, and those
     before it are removed.  Self-loops and repeated edges are harmless, rows with NULL are left
-    out; an empty table gives an empty table.  More rounds than ``rounds`` raise RuntimeError
+    out; an empty table gives an empty table.  No more than ``local`` edges are joined on the driver, with the same result.  More rounds than ``rounds`` raise RuntimeError
     (they grow as the logarithm of the longest path).
     """
     spark, before = edges.sparkSession, len(made())
@@ -26,6 +32,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         "edges",
     )
     mark = _mark(now)
+    if mark[0] <= local:
+        table = now.toArrow()
+        u, v = (np.asarray(table.column(c)) for c in ("u", "v"))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        parent = np.arange(len(ids))
+        union(parent, at[: len(u)], at[len(u) :])
+        return spark.createDataFrame(pa.table({"id": ids, "root": ids[parent]})) if len(ids) else spark.createDataFrame([], "id long, root long")
     for _ in range(rounds if mark[0] else 0):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

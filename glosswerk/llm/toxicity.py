@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cols, free, id_type, require, slices, slim, stored, words
+from .common import col, free, id_type, require, slices, slim, stored, words
 
 #: Word counters are handed on when they grow beyond this, so that a task's memory is bounded.
 _FLUSH = 400_000
@@ -37,7 +37,7 @@ def labelled_sample(labels: DataFrame, max_labelled: int, id_col: str = "doc_id"
     """``(doc_id, toxic)`` of at most max_labelled ids; an id with several labels is toxic if one says so; NULLs are left out."""
     require(labels, id_col, label_col)
     one = (
-        labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col).cast("int") > 0).cast("int").alias("toxic"))
+        labels.select(col(labels, id_col).alias("doc_id"), (col(labels, label_col).cast("int") > 0).cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
@@ -144,18 +144,40 @@ def _pairs(batches, node: dict):
         yield out()
 
 
-def walk(i, j, weight, n: int, ends: np.ndarray, damping: float = 0.85, rounds: int = 60) -> np.ndarray:
-    """Each node's chance that a random walk from it over the undirected weighted graph ends in ``ends``.
+def walk(edges: DataFrame, n: int, ends: np.ndarray, damping: float = 0.85, rounds: int = 40) -> np.ndarray:
+    """Each of n nodes' chances that a random walk from it over the undirected ``edges(i, j, weight)`` ends in each column of ``ends``.
 
-    Before each step the walk ends with chance 1 - damping; at a node without edges it always does.
+    Before each step the walk ends with chance 1 - damping; at a node without edges it always does.  Walks of more than
+    ``rounds`` steps, a chance of 0.0015, are left out.  Each step is an aggregation of the edges by node.
     """
-    degree = np.bincount(i, weight, n) + np.bincount(j, weight, n)
+    width = ends.shape[1]
+
+    def gathered(values: np.ndarray) -> np.ndarray:
+        shipped = edges.sparkSession.sparkContext.broadcast(values)
+
+        def part(batches):
+            total = np.zeros((n, values.shape[1]))
+            for b in batches:
+                i, j, w = (np.asarray(b.column(k)) for k in range(3))
+                for k in range(total.shape[1]):
+                    total[:, k] += np.bincount(i, w * shipped.value[j, k], n) + np.bincount(j, w * shipped.value[i, k], n)
+            at = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, k]) for k in range(total.shape[1])]], ["node", *[f"v{k}" for k in range(total.shape[1])]])
+
+        names = [f"v{k}" for k in range(values.shape[1])]
+        sums = edges.mapInArrow(part, "node long, " + ", ".join(f"{c} double" for c in names)).groupBy("node").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        out = np.zeros((n, values.shape[1]))
+        out[np.asarray(sums.column("node"))] = np.stack([np.asarray(sums.column(c)) for c in names], 1)
+        shipped.destroy()
+        return out
+
+    degree = gathered(np.ones((n, 1)))
     lonely = degree == 0
     degree[lonely] = 1
     at = ends * np.where(lonely, 1.0, 1 - damping)
-    found = at.copy()
-    for _ in range(rounds):
-        found = at + damping * (np.bincount(i, weight * found[j], n) + np.bincount(j, weight * found[i], n)) / degree
+    found = at.reshape(n, width).copy()
+    for _ in range(0 if lonely.all() else rounds):
+        found = at + damping * gathered(found) / degree
     return found
 
 
@@ -166,17 +188,17 @@ def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col:
     links a word to very many others weakly, doesn't outweigh the few that it stands with in particular.
     The weight of a toxic word is lessened by the labelled documents that have it and aren't toxic.
     """
-    labelled = docs.select(F.col(id_col).cast("long").alias("__gw_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(sample.withColumnsRenamed({"doc_id": "__gw_id"})), "__gw_id"
-    )
-    first = cut(word_counts(labelled.select("text", "toxic"), lambda own, batch, k: batch.column(1)[k].as_py() == 1))
+    rows = slim(docs, id_col, text_col)
+    labelled = rows.join(F.broadcast(sample), "doc_id")
+    first = stored(word_counts(labelled.select("text", "toxic"), lambda own, batch, k: batch.column(1)[k].as_py() == 1), "toxic-labelled")
     bad, good = seeds(first, n_seeds)
     if not bad:
         return {}
-    texts, known = docs.select(F.col(text_col).cast("string").alias("text")), frozenset(bad)
-    counts = cut(
+    texts, known = rows.select("text"), frozenset(bad)
+    counts = stored(
         word_counts(texts, lambda own, batch, k: not known.isdisjoint(own))
-        .where(F.length("word").eqNullSafe(0) | (F.col("docs") >= min_docs) | F.col("word").isin([*bad, *good]))
+        .where(F.length("word").eqNullSafe(0) | (F.col("docs") >= min_docs) | F.col("word").isin([*bad, *good])),
+        "toxic-counts",
     )
     total = counts.where(F.length("word") == 0).first()
     n_docs, near = total["docs"], associated(counts, min_docs, min_share)
@@ -185,23 +207,21 @@ def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col:
     names = sorted(df)
     node = {w: k for k, w in enumerate(names)}
     n, size = len(names), np.array([df[w] for w in names], float)
-    linked = (
+    if not n:
+        return {}
+    ppmi = F.pow(F.ln(F.col("docs") * n_docs / (F.col("si") * F.col("sj"))), F.lit(sharpness)).alias("weight")
+    sizes = docs.sparkSession.createDataFrame(pa.table({"k": pa.array(range(n), pa.int32()), "s": size}))
+    edges = stored(
         texts.mapInArrow(lambda b: _pairs(b, node), "i int, j int, docs long")
         .groupBy("i", "j").agg(F.sum("docs").alias("docs")).where("docs >= 2")
-    )
-    starts = [np.array([float(w in s) for w in names]) for s in (frozenset(bad), frozenset(good))]
-
-    def walks(batches):
-        tables = [b for b in batches if b.num_rows]
-        i, j, c = (np.concatenate([np.asarray(b.column(k)) for b in tables]) if tables else np.zeros(0, np.int64) for k in range(3))
-        ppmi = np.log(np.maximum(c * n_docs / (size[i] * size[j]), 1.0))
-        i, j, ppmi = i[ppmi > 0], j[ppmi > 0], ppmi[ppmi > 0] ** sharpness
-        toxic, neutral = (walk(i, j, ppmi, n, s, damping) for s in starts)
-        polarity = (toxic - neutral) / np.maximum(toxic + neutral, 1e-300)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(polarity), pa.array(toxic + neutral)], ["k", "polarity", "mass"])
-
-    found = linked.coalesce(1).mapInArrow(walks, "k long, polarity double, mass double").collect() if n else []
-    weight = {names[r["k"]]: r["polarity"] for r in found if r["mass"] > 0}
+        .join(sizes.select(F.col("k").alias("i"), F.col("s").alias("si")), "i").join(sizes.select(F.col("k").alias("j"), F.col("s").alias("sj")), "j")
+        .where(F.col("docs") * n_docs > F.col("si") * F.col("sj")).select("i", "j", ppmi),
+        "toxic-edges",
+    )
+    ends = np.array([[w in s for s in (frozenset(bad), frozenset(good))] for w in names], float)
+    chance = walk(edges, n, ends, damping)
+    mass = chance.sum(1)
+    weight = {w: (c[0] - c[1]) / m for w, c, m in zip(names, chance.tolist(), mass.tolist()) if m > 0}
     up = sorted(w for w, x in weight.items() if x > 0)
     for r in first.where(F.col("word").isin(up)).collect() if up else []:
         weight[bytes(r["word"])] *= ((r["some"] + 1) / (r["docs"] + 1)) ** 2
@@ -211,22 +231,32 @@ def lexicon(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col:
 def _scores(batches, weight: dict):
     get = weight.get
     for batch in slices(batches):
-        n_words, hits, score = [], [], []
+        n_words, distinct, hits, score = [], [], [], []
         for text in batch.column(1).to_pylist():
             own = words(text)
-            found = [x for x in map(get, set(own)) if x is not None]
+            kinds = set(own)
+            found = [x for x in map(get, kinds) if x is not None]
             n_words.append(len(own))
-            hits.append(sum(x > 0 for x in found))
+            distinct.append(len(kinds))
+            hits.append(len(found))
             score.append(sum(sorted(found)) if found else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_words", "toxic_words", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(distinct, pa.int64()), pa.array(hits, pa.int64()), pa.array(score, pa.float64())],
+            ["doc_id", "n_words", "distinct_words", "toxic_words", "weight"],
+        )
 
 
 def scored(docs: DataFrame, weight: dict[bytes, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, toxic_words, score)`` for each row: distinct toxic words and the sum of the toxic words' weights."""
-    require(docs, id_col, text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``(doc_id, n_words, distinct_words, toxic_words, weight)`` for each row: distinct toxic words and the sum of their weights."""
     up = {w: x for w, x in weight.items() if x > 0}
-    return slim.mapInArrow(lambda b: _scores(b, up), "doc_id long, n_words long, toxic_words long, score double")
+    schema = f"doc_id {id_type(docs, id_col)}, n_words long, distinct_words long, toxic_words long, weight double"
+    return slim(docs, id_col, text_col).mapInArrow(lambda b: _scores(b, up), schema)
+
+
+def usual_weight(found: DataFrame, sample: DataFrame) -> float:
+    """The toxic weight of a distinct word in labelled documents that aren't toxic, on average."""
+    row = found.join(F.broadcast(sample.where("toxic = 0")), "doc_id").agg(F.sum("weight").alias("w"), F.sum("distinct_words").alias("n")).first()
+    return row["w"] / row["n"] if row["n"] else 0.0
 
 
 def threshold(scores: DataFrame, sample: DataFrame) -> float:
@@ -248,12 +278,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     NULL, empty and wordless texts score 0 and aren't toxic.  A NULL doc_id is kept and scored.
     Repeated rows are scored each.  Without labels of both kinds, or on an empty table, nothing is
-    toxic.  Other columns are ignored, whatever their names.  ``induction`` goes to :func:`lexicon`.
+    toxic.  Labels' ids are compared with documents' in their own types.  Words of equal evidence are taken in their order as bytes.
+    Texts of any length are read whole.  Other columns are ignored, whatever their names.  ``induction`` goes to :func:`lexicon`.
     """
     require(docs, id_col, text_col)
-    sample = cut(labelled_sample(labels, max_labelled, label_col=label_col))
+    sample = stored(labelled_sample(labels, max_labelled, label_col=label_col), "toxic-sample")
     weight = lexicon(docs, sample, text_col, id_col, **induction)
-    found = cut(scored(docs, weight, id_col, text_col))
+    raw = stored(scored(docs, weight, id_col, text_col), "toxic-scores")
+    usual = usual_weight(raw, sample) if weight else 0.0
+    score = F.greatest(F.col("weight") - usual * F.col("distinct_words"), F.lit(0.0)).alias("score")
+    found = raw.select("doc_id", "n_words", "toxic_words", score)
     least = threshold(found, sample) if weight else math.inf
     return found.withColumn("toxic", F.col("score") >= F.lit(least))
 
@@ -263,5 +297,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Rows with a NULL id stay, as no decision can be joined to them.  Of an id with several texts, all go if one is toxic.
     """
-    bad = toxicity(docs, labels, id_col, text_col, **options).where("toxic AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gw_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__gw_id"], "left_anti")
+    (name,) = free(docs, "id_")
+    bad = toxicity(docs, labels, id_col, text_col, **options).where("toxic AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, col(docs, id_col) == bad[name], "left_anti")

@@ -124,6 +124,19 @@ def test_recall_of_grids():
         assert met.mean() >= 0.9
 
 
+def test_components_both_ways(spark):
+    from glosswerk.llm.components import components
+
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(3, 3), (None, 1), (5, None)]
+    want, _ = groups(1100, [x for x in edges if None not in x])
+    df = spark.createDataFrame(edges + edges[:20], "a long, b long")
+    for local in (10_000, 0):
+        got = {r.id: r.root for r in components(df, local=local).collect()}
+        assert got == {k: want[k] for k in range(1100) if k in {x for e in edges if None not in e and e[0] != e[1] for x in e}}
+        assert components(df.limit(0), local=local).count() == 0
+
+
 def test_cells_count_every_link_once(spark):
     from glosswerk.llm import cells
 
@@ -198,13 +211,103 @@ def test_lexicon_has_no_fixed_caps(spark):
     assert weight[b"vile"] > 0 and weight.get(b"murk", 0) > 0
 
 
-def test_walk_against_power_series():
-    i, j, w = np.array([0, 1]), np.array([1, 2]), np.array([1.0, 3.0])
+def test_walk_against_power_series(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 3.0)], "i int, j int, weight double").repartition(2)
     p = np.array([[0, 1, 0, 0], [0.25, 0, 0.75, 0], [0, 1, 0, 0], [0, 0, 0, 0]])
-    ends = np.array([1.0, 0, 0, 1])
-    want = sum(0.15 * np.linalg.matrix_power(0.85 * p, k) @ ends for k in range(200))
-    want[3] = 1
-    np.testing.assert_allclose(toxicity.walk(i, j, w, 4, ends, rounds=200), want)
+    ends = np.array([[1.0, 0, 0, 1], [0, 0, 1, 0]]).T
+    want = sum(0.15 * np.linalg.matrix_power(0.85 * p, k) @ ends for k in range(31))
+    want[3] = [1, 0]
+    np.testing.assert_allclose(toxicity.walk(edges, 4, ends, rounds=30), want)
+    np.testing.assert_allclose(toxicity.walk(edges.limit(0), 4, ends), ends)
+
+
+def plain_toxicity(rows, labels, n_seeds=128, min_docs=10, min_share=0.75):
+    """The same from first principles: sets of words, dictionaries of counts, a dense matrix for the walk."""
+    import math
+
+    import xxhash
+
+    def counted(rows, marked):
+        docs, some = {}, {}
+        for i, text in rows:
+            tokens = words(text)
+            if not tokens:
+                continue
+            runs = [b" ".join(tokens[k : k + 3]) for k in range(len(tokens) - 2)] if len(tokens) > 3 else [b" ".join(tokens)]
+            key = min(map(xxhash.xxh3_64_intdigest, runs)) >> 1
+            for w in {*tokens, b""}:
+                if marked(i, set(tokens)):
+                    some.setdefault(w, set()).add(key)
+                else:
+                    docs[w] = docs.get(w, 0) + 1
+        return {w: (docs.get(w, 0) + len(some.get(w, ())), len(some.get(w, ()))) for w in {*docs, *some}}
+
+    first = counted([(i, t) for i, t in rows if i in labels], lambda i, own: labels[i] == 1)
+    n, bad_n = first.pop(b"")
+    share = bad_n / n
+    sure = {w: (k + 1) / (d + 2) for w, (d, k) in first.items() if d >= 5}
+    z = {w: (first[w][1] - first[w][0] * share) / math.sqrt(first[w][0] * share + 1) for w in sure}
+    bad = [w for w in sure if sure[w] >= max(0.75, min(0.9, 2 * share)) and z[w] >= 4]
+    good = sorted((w for w in sure if sure[w] <= 1.25 * share), key=lambda w: (-first[w][0], w))[: max(n_seeds, len(bad))]
+    every = counted(rows, lambda i, own: bool(own & set(bad)))
+    n_docs, near = every.pop(b"")
+    tested = {w: x for w, x in every.items() if x[0] >= min_docs or w in bad or w in good}
+    tested = {w: x for w, x in tested.items() if x[0] >= min_docs}
+    share, bar = near / n_docs, max(4.0, math.sqrt(2 * math.log(max(len(tested), 2))))
+    base = min(2 * share, (1 + share) / 2)
+    nodes = sorted({*bad, *good} | {w for w, (d, k) in tested.items() if k > d * share and (k >= d * min_share or (k - d * base) / math.sqrt(d * base * (1 - base) + 1) >= bar)})
+    together = np.zeros((len(nodes), len(nodes)))
+    for _, text in rows:
+        own = [k for k, w in enumerate(nodes) if w in set(words(text))]
+        together[np.ix_(own, own)] += 1
+    size = np.array([every[w][0] for w in nodes], float)
+    with np.errstate(divide="ignore"):
+        weight = np.where(together >= 2, np.maximum(np.log(together * n_docs / np.outer(size, size)), 0) ** 3, 0)
+    np.fill_diagonal(weight, 0)
+    degree = weight.sum(1)
+    p = weight / np.where(degree == 0, 1, degree)[:, None]
+    ends = np.array([[w in bad, w in good] for w in nodes], float)
+    chance = at = ends * np.where(degree == 0, 1, 0.15)[:, None]
+    for _ in range(40):
+        chance = at + 0.85 * p @ chance
+    polarity = {w: (a - b) / (a + b) for w, (a, b) in zip(nodes, chance) if a + b > 0}
+    up = {w: x * ((first[w][1] + 1) / (first[w][0] + 1)) ** 2 if w in first else x for w, x in polarity.items() if x > 0}
+    kinds = {i: set(words(t)) for i, t in rows}
+    raw = {i: sum(sorted(up[w] for w in own if w in up)) for i, own in kinds.items()}
+    clean = [i for i in raw if labels.get(i) == 0]
+    usual = sum(raw[i] for i in clean) / sum(len(kinds[i]) for i in clean)
+    score = {i: max(raw[i] - usual * len(kinds[i]), 0.0) for i in raw}
+    tried = sorted({round(score[i], 4) for i in labels if i in score}, reverse=True)
+    f1 = lambda t: 2 * sum(labels[i] == 1 for i in labels if round(score[i], 4) >= t) / (sum(round(score[i], 4) >= t for i in labels) + sum(labels.values()))
+    best = max((t for t in tried if t > 0), key=lambda t: (f1(t), t))
+    below = max([t for t in tried if t < best], default=0.0)
+    return up, score, {i for i in score if score[i] >= (best + max(below, 0)) / 2}
+
+
+def test_toxicity_against_plain_python(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(700):
+        own = sentence(rnd, rnd.choice([20, 60, 400])).split()
+        if i % 9 == 0:
+            for w in rnd.choices(["vile", "foul", "grim", "rank", "murk"], k=4):
+                own[rnd.randrange(len(own))] = w
+        elif i % 50 == 7:
+            own[3] = "murk"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + k, rows[9][1]) for k in range(5)]
+    labels = {i: int(i % 9 == 0) for i in range(400)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    up, score, toxic = plain_toxicity(rows, labels)
+    weight = {w: x for w, x in toxicity.lexicon(docs, toxicity.labelled_sample(known, 20_000)).items() if x > 0}
+    assert weight.keys() == up.keys() and b"vile" in up
+    for w in up:
+        assert weight[w] == pytest.approx(up[w], rel=1e-9)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, known).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(score, abs=1e-9)
+    assert {i for i, r in got.items() if r.toxic} == toxic
+    assert {i for i in range(400, 700) if i % 9 == 0} <= toxic and not [i for i in toxic if i < 1000 and i % 9 and i % 50 != 7]
 
 
 def test_phrases(spark):
@@ -327,19 +430,73 @@ def test_token_counts(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage's rows against plain Python: planted toxic documents, repeated lines, near copies, uneven sources."""
     import corpus_pipeline
+    from glosswerk.llm import mixing
+
+    from test_lines import brute
 
     rnd = random.Random(8)
-    rows = [(i, sentence(rnd, 80), "en", f"s{i % 2}", 0) for i in range(120)]
-    rows += [(200 + i, rows[i][1] + "\n" + sentence(rnd, 6), "en", "s0", 0) for i in range(10)] + [(300, None, None, None, None), (301, "", "en", "s1", 0), (None, "q w", "en", "s1", 3)]
+    text = lambda n: "\n".join(sentence(rnd, n) for _ in range(6))
+    rows = [(i, text(14), "en", "big" if i % 5 else "small", 0) for i in range(240)]
+    toxic = [i for i in range(240) if i % 6 == 1]
+    for i in toxic:
+        own = rows[i][1].split(" ")
+        for w in rnd.choices(["vile", "foul", "grim", "rank"], k=4):
+            own[rnd.randrange(len(own))] = w
+        rows[i] = (i, " ".join(own), *rows[i][2:])
+    clean = [i for i in range(240) if i % 6 != 1]
+    for k, i in enumerate(clean[:20]):
+        own = rows[i][1].split("\n")
+        changed = [" ".join(w + "q" if n == k % 9 else w for n, w in enumerate(x.split())) for x in own[:3]]
+        rows.append((1000 + i, "\n".join([*changed, *own[3:]]), "en", "big", 0))
+    for i in clean[20:30]:
+        rows.append((2000 + i, text(10) + "\n" + rows[i][1].split("\n")[0], "en", "small", 0))
+    rows += [(3000 + i, rows[i][1], "en", "big", 0) for i in clean[30:40]]
+    rows += [(300, None, None, None, None), (301, "", "en", "big", 0), (None, "q w", "en", "small", 3), (302, "---", "en", None, 0)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "mixing", "packing"]
-    after = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, after, str(tmp_path))
+    after, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, after, str(tmp_path)).persist()
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        seen.append(sorted(((r.doc_id, r.text, r.source) for r in after.collect()), key=str))
+    one = sorted(((i, t, s) for i, t, _, s, _ in rows if i not in toxic), key=str)
+    assert seen[0] == one
+    gone = {}
+    for i, n, *_ in brute([(i, t) for i, t, _ in one]):
+        gone.setdefault(i, set()).add(n)
+    two = []
+    for i, t, s in one:
+        left = t if i not in gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
+        if i not in gone or left.strip():
+            two.append((i, left, s))
+    assert seen[1] == sorted(two, key=str) and len(two) < len(one)
+    three = seen[2]
+    assert {x[0] for x in three} == {x[0] for x in two} - {1000 + i for i in clean[:20]} and set(three) <= set(two)
+    count = lambda t: len(t.split()) if t else 0
+    sources = sorted({s for _, t, s in three if count(t)}, key=str)
+    own = np.array([sum(count(t) for _, t, x in three if x == s) for s in sources], float)
+    q = (own / own.sum()) ** mixing.exponent(own, mixing.ENTROPY, mixing.REPEATS, own.sum())
+    longest = max(count(t) for _, t, _ in three)
+    for s, budget in zip(sources, np.floor(q / q.sum() * own.sum())):
+        assert budget - longest < sum(count(t) for _, t, x in seen[3] if x == s) <= budget
+    assert set(seen[3]) <= set(three)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len({r.doc_id for r in out}) >= 100
-    assert all(sum(r.tokens for r in out if r.bin_id == b) <= 8192 for b in {r.bin_id for r in out})
+    total = {}
+    for i, t, _ in seen[3]:
+        if count(t):
+            total[i] = total.get(i, 0) + count(t)
+    packed = {}
+    for r in out:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.tokens
+    assert packed == total
+    bins = {}
+    for r in out:
+        bins.setdefault(r.bin_id, []).append(r.tokens)
+    assert all(sum(b) <= 8192 and len(b) <= 64 and sum(x * x for x in b) <= 8192 * 8192 // 2 for b in bins.values())
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
