@@ -337,3 +337,32 @@ def test_long_and_blocked_alignment(monkeypatch):
     assert edit.alignment(a, b) == whole
     assert edit.counts("a" * 50_000 + "b", "c" + "a" * 50_000) == (49_999, 2, 0, 0)
     assert edit.counts_by_batch([None, ("", ""), ("ab", ""), ("", "ab"), None]) == [(None,) * 4, (0, 0, 0, 0), (0, 0, 2, 0), (0, 0, 0, 2), (None,) * 4]
+
+
+def test_goldens_and_forms(spark):
+    import unicodedata
+
+    import duckdb
+
+    from glosswerk.plans import queries as q
+
+    run, sql = q.queries(), q.oracle_sql()
+    for name in ("golden_rates", "golden_keywords", "golden_entities", "golden_entity_errors"):
+        df = run[name](spark, "")
+        cur = duckdb.connect().execute(sql[name])
+        want = [dict(zip([c[0] for c in cur.description], r)) for r in cur.fetchall()]
+        got = [r.asDict() for r in df.collect()]
+        key = lambda r: repr([r[c] for c in sorted(r) if not isinstance(r[c], float)])
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert a == pytest.approx(b), name
+    words = ["가", "각", "é", "ﬁ①", "Å", "", "ｱ", None]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        assert [r.x for r in df.select(text.normalized(F.col("t"), form).alias("x")).collect()] == [w if w is None else unicodedata.normalize(form, w) for w in words]
+
+
+def test_queries_have_names_in_common():
+    from glosswerk.plans import queries as q
+
+    assert set(q.oracle_sql()) <= set(q.queries())
+    assert set(q.queries()) - set(q.oracle_sql()) == {"entity_scores", "entity_labels", "entity_summary", "entity_errors"}
