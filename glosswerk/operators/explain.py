@@ -23,6 +23,10 @@ def by_words(unit: str) -> bool:
     return _UNITS[unit.lower()]
 
 
+def _is(kind: str):
+    return lambda edit: edit["type"] == kind
+
+
 def explain(pairs: DataFrame, unit: str = "character", rm_punctuation: bool = True, rate_mode: str = "normalized", unicode_normalization: str | None = None) -> DataFrame:
     """``pairs`` with processed texts, the alignment, its counts and rate."""
     words, mode, form = by_words(unit), resolve_mode(rate_mode), unicode_form(unicode_normalization)
@@ -30,7 +34,7 @@ def explain(pairs: DataFrame, unit: str = "character", rm_punctuation: bool = Tr
     out = pairs.withColumns({f"processed_{s}": clean(F.col(s), rm_punctuation, form) for s in ("reference", "hypothesis")})
     out = out.withColumn("alignment", edit.edit_alignment(F.col("processed_reference"), F.col("processed_hypothesis"), words))
     for name, kind in zip(("hits", "substitutions", "deletions", "insertions"), _KINDS):
-        out = out.withColumn(name, F.size(F.filter("alignment", lambda x, kind=kind: x["type"] == kind)).cast("long"))
+        out = out.withColumn(name, F.size(F.filter("alignment", _is(kind))).cast("long"))
     return out.withColumn("rate", rates.error_rate(*map(F.col, ("hits", "substitutions", "deletions", "insertions")), mode))
 
 

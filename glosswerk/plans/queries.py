@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns, text
 from ..operators import corpus, entities, explain, keywords
 from ..sources.transcripts import parse_transcripts, segments
+from ..sql import register
 from .report import evaluation_reports
 
 KEYWORDS = {"function": ["the", "with", "que"], "content": ["worthless", "tion", "der"]}
@@ -69,6 +70,29 @@ def _alignment(pairs: DataFrame, unit: str) -> DataFrame:
     return e.select("utterance_id", F.posexplode("alignment").alias("step", "e")).select("utterance_id", "step", "e.type", "e.reference", "e.hypothesis")
 
 
+def _aligned(pairs: DataFrame) -> DataFrame:
+    side = lambda c: pairs.select("utterance_id", F.col(c).alias("text"))
+    return corpus.aligned(side("reference"), side("hypothesis"))
+
+
+def _indices(pairs: DataFrame) -> DataFrame:
+    """Edits with the place of the reference's word, or, of an extra word, where it would stand."""
+    e = explain.explain(pairs, "word").select("utterance_id", F.posexplode("alignment").alias("step", "e"))
+    return e.select("utterance_id", "step", "e.type", "e.reference_index", "e.reference_position")
+
+
+def _explained(pairs: DataFrame) -> DataFrame:
+    e = explain.explain(pairs, "character", rate_mode="standard")
+    return e.select("utterance_id", "processed_reference", "processed_hypothesis", "hits", "substitutions", "deletions", "insertions", "rate")
+
+
+def _sql_rates(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """The same rates by this package's SQL functions."""
+    register(spark)
+    call = lambda f: F.call_function(f, F.col("reference"), F.col("hypothesis"))
+    return pairs.select("utterance_id", *[call(f"gw_{m}").alias(m) for m in ("cer", "wer", "crr")], call("gw_edit_counts").alias("n")).select("utterance_id", "cer", "wer", "crr", "n.*")
+
+
 def _keywords(pairs: DataFrame, level: str) -> DataFrame:
     k = keywords.evaluate_keywords(pairs, KEYWORDS)
     return k.where(F.col("level") == level).drop("level") if level != "total" else k.where("level = 'total'").drop("level", "name", "position")
@@ -191,6 +215,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "perfect_sentences": lambda s, d: t(s, d).agg(F.count("*").alias("utterances"), F.sum((text.cer_text(F.col("reference")) == text.cer_text(F.col("hypothesis"))).cast("long")).alias("perfect_sentences")),
         "alignment_words": lambda s, d: _alignment(b(s, d), "word"),
         "alignment_characters": lambda s, d: _alignment(b(s, d), "character"),
+        "alignment_indices": lambda s, d: _indices(b(s, d)),
+        "aligned_turns": lambda s, d: _aligned(t(s, d)),
+        "explained_items": lambda s, d: _explained(b(s, d)),
+        "sql_rates": lambda s, d: _sql_rates(s, b(s, d)),
         "error_frequencies_words": lambda s, d: explain.error_frequencies(explain.explain(b(s, d), "word")),
         "keyword_mentions": lambda s, d: _keywords(t(s, d), "keyword"),
         "keyword_labels": lambda s, d: _keywords(t(s, d), "label"),
@@ -321,7 +349,7 @@ def _steps_sql(tokens) -> str:
 ), edits AS (
   SELECT utterance_id, (max(back) OVER (PARTITION BY utterance_id) - back)::INTEGER AS step,
     CASE WHEN kind = 1 THEN 'insert' WHEN kind = 2 THEN 'delete' WHEN r[j + 1] = h[i + 1] THEN 'equal' ELSE 'substitute' END AS type,
-    CASE WHEN kind = 1 THEN '' ELSE r[j + 1] END AS reference, CASE WHEN kind = 2 THEN '' ELSE h[i + 1] END AS hypothesis
+    CASE WHEN kind = 1 THEN '' ELSE r[j + 1] END AS reference, CASE WHEN kind = 2 THEN '' ELSE h[i + 1] END AS hypothesis, j::INTEGER AS place
   FROM way JOIN a_tokens USING (utterance_id) WHERE kind IS NOT NULL
 )"""
 
@@ -478,7 +506,7 @@ SELECT *, (row_number() OVER (PARTITION BY type ORDER BY count DESC, reference,
         "wer_per_row_standard": _wer_sql("standard"),
         **{f"corpus_wer_{m}": f"WITH RECURSIVE {_ITEMS}, {_dp('w', _words, share=2)} SELECT count(*) AS utterances, {_sums_sql('w', m, 'wer')} FROM w" for m in ("normalized", "standard")},
         "corpus_report_turns": _corpus_sql("normalized", _TURNS),
-        "alignment_characters": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_chars)} SELECT * FROM edits",
+        "alignment_characters": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_chars)} SELECT * EXCLUDE (place) FROM edits",
         **{f"transcript_segments_{k}": _segments_sql(k) for k in ("json", "srt", "tsv")},
         "transcript_refused": "SELECT conv_id, turn, unnest(['srt', 'tsv', 'json']) AS source_format, turn % 4 < 2 AS refused FROM conversations",
         "evaluation_report": _report_sql(),
@@ -495,7 +523,12 @@ SELECT *, (row_number() OVER (PARTITION BY type ORDER BY count DESC, reference,
             (1, "omission", "애플", "회사", "애플", "", 0, 2, 0), (2, "misrecognition", "삼성전자", "회사", "삼성전자", "삼성대전자", 0, 0, 1),
         ], "sentence_index, type, entity, label, reference, hypothesis, substitutions, deletions, insertions"),
         "perfect_sentences": f"WITH {_TURNS} SELECT count(*) AS utterances, sum(({_bare('reference')} = {_bare('hypothesis')})::INT)::BIGINT AS perfect_sentences FROM pairs",
-        "alignment_words": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_words)} SELECT * FROM edits",
+        "alignment_words": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_words)} SELECT * EXCLUDE (place) FROM edits",
+        "alignment_indices": f"WITH RECURSIVE {_ITEMS}, {_steps_sql(_words)} SELECT utterance_id, step, type, CASE WHEN type <> 'insert' THEN place END AS reference_index, place AS reference_position FROM edits",
+        "aligned_turns": f"WITH {_TURNS} SELECT * FROM pairs",
+        "explained_items": f"WITH RECURSIVE {_ITEMS}, {_dp('c', _chars)} SELECT c.*, {_bare('reference')} AS processed_reference, {_bare('hypothesis')} AS processed_hypothesis, {_rate_sql('standard')} AS rate FROM c JOIN pairs USING (utterance_id)",
+        "sql_rates": f"""WITH RECURSIVE {_ITEMS}, {_dp('c', _chars)}, {_dp('w', _words, share=2)} SELECT c.*, {_rate_sql('normalized', lambda c: f'c.{c}')} AS cer, {_rate_sql('normalized', lambda c: f'w.{c}')} AS wer,
+  round((1 - {_rate_sql('normalized', lambda c: f'c.{c}')})::DECIMAL(38, 20), 2)::DOUBLE AS crr FROM c JOIN w USING (utterance_id)""",
         "error_frequencies_words": frequencies,
         "keyword_mentions": _keyword_sql(KEYWORDS, "keyword AS name, k AS position") + ", recall AS preservation_rate FROM p",
         "keyword_labels": _keyword_sql(KEYWORDS, "label AS name, min(k) AS position") + ", recall AS preservation_rate FROM p",
