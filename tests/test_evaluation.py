@@ -98,6 +98,8 @@ def test_white_space_is_pythons(spark):
 def test_explain(spark):
     e = g.explain_errors("나는 학교 간다", "나는 학교에 간다 오늘", unit="word")
     assert (e["counts"]["hits"], e["counts"]["substitutions"], e["counts"]["insertions"]) == (2, 1, 1)
+    x = g.explain(pairs(spark, ["나는 학교 간다", "a b"], ["나는 학교에 간다 오늘", "a"]), "word").orderBy("utterance_id").collect()
+    assert [(r.hits, r.substitutions, r.deletions, r.insertions, r.rate) for r in x] == [(2, 1, 0, 1, 0.5), (1, 0, 1, 0, 0.5)]
     f = g.error_frequencies(g.explain(pairs(spark, ["ab ab", "ab"], ["ax ax", "a"]), "char")).orderBy("type", "rank").collect()
     assert [(r.type, r.reference, r.hypothesis, r["count"]) for r in f] == [("delete", "b", "", 1), ("substitute", "b", "x", 2)]
     with pytest.raises(ValueError):
