@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 COUNTS = "hits bigint, substitutions bigint, deletions bigint, insertions bigint"
 ALIGNED = "array<struct<type:string,reference:string,hypothesis:string,reference_index:int,reference_position:int>>"
 _STEP, _EXTRA, _MISSING = 0, 1, 2
-#: No cost; the half width of the first band; cells filled at once; tokens of texts that a batch holds at once; cells whose steps are held.
-_FAR, _HALF, _CELLS, _TOKENS, _STEPS = 1 << 29, 24, 1 << 16, 1 << 22, 1 << 25
+#: No cost; the half width of the first band and the most that a length asks of it; cells filled at once; tokens of texts that a batch holds at once; cells whose steps are held.
+_FAR, _HALF, _ASKED, _CELLS, _TOKENS, _STEPS = 1 << 29, 24, 72, 1 << 16, 1 << 22, 1 << 25
 
 
 def _numbers(a: Sequence[str], b: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def counts_of(pairs: list[tuple[Sequence[str], Sequence[str]]]) -> list[tuple[in
             out[k] = (same[k], 0, len(ref), len(hyp))
     half = _HALF
     while todo:
-        fit = sorted((k for k, (r, h) in todo.items() if abs(len(r) - len(h)) <= half), key=lambda k: len(todo[k][1]))
+        fit = sorted((k for k, (r, h) in todo.items() if _first_half(len(r), len(h)) <= half), key=lambda k: len(todo[k][1]))
         at_once = max(1, _CELLS // (2 * half + 1))
         for lo in range(0, len(fit), at_once):
             some = fit[lo : lo + at_once]
@@ -116,6 +116,11 @@ def counts(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, in
     return counts_of([(reference, hypothesis)])[0]
 
 
+def _first_half(n: int, m: int) -> int:
+    """A band in which most pairs of such lengths fit: an eighth of the length, within bounds, and all of the difference."""
+    return max(_HALF, abs(n - m), min(max(n, m) // 8, _ASKED))
+
+
 class _Rows:
     """The rows of one pair in a band; steps come by blocks, last rows first."""
 
@@ -161,7 +166,7 @@ class _Rows:
 
 
 def _filled(ref: np.ndarray, hyp: np.ndarray) -> _Rows:
-    half, most = max(_HALF, abs(len(ref) - len(hyp))), max(len(ref), len(hyp))
+    half, most = _first_half(len(ref), len(hyp)), max(len(ref), len(hyp))
     while True:
         rows = _Rows(ref, hyp, half)
         if rows.cost <= half or half >= most:

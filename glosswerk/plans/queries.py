@@ -28,8 +28,14 @@ def _with_errors(ref):
     return F.replace(F.replace(hyp, F.lit(" de "), F.lit(" ")), F.lit(" of "), F.lit(" of of "))
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, in as many parts as cores: alignment takes far more time than its texts have bytes."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/conversations.parquet")
+    t = _spread(spark.read.parquet(f"{d}/conversations.parquet"))
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance_id"), F.col("text").alias("reference"), _with_errors(F.col("text")).alias("hypothesis"))
 
 
