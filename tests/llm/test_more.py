@@ -535,3 +535,28 @@ def test_pipeline(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_near_dedup_leaves_no_near_pair(spark, tmp_path):
+    """Of copies up to the bound only the least id of each group by all pairs stays."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(150):
+        own = sentence(rnd, 60).split()
+        rows.append((i, " ".join(own), "en", "s", 0))
+        for k in range(2):
+            new = list(own)
+            for at in rnd.sample(range(len(new)), 3):
+                new[at] += f"q{k}"
+            rows.append((1000 + 10 * i + k, " ".join(new), "en", "s", 0))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    prints = sorted((r.doc_id, r.fp0, r.fp1) for r in simhash.fingerprints(docs).collect())
+    u = np.array([p[1:] for p in prints], np.int64).view(np.uint64)
+    far = np.bitwise_count(u[:, None] ^ u[None]).sum(2, dtype=int)
+    assert ((far >= 14) & (far <= 17)).sum() > 100
+    group, _ = groups(len(prints), [(i, j) for i, j in zip(*np.nonzero(far <= 17)) if i != j])
+    want = {prints[g][0] for g in group}
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, str(tmp_path)).collect()} == want
