@@ -43,8 +43,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = simhash.decisions(whole, among=docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return simhash.near_dedup(docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    return simhash.near_dedup(docs, away=found.where("NOT kept").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

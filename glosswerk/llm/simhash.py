@@ -191,16 +191,25 @@ def near_groups(prints: DataFrame, max_distance: int = 17, segment_bits: int = 1
     return placed.join(heads, "root").join(counts, "node", "left").select("fp0", "fp1", "head", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, options: dict, among: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, text_hash, head, links)`` for each distinct document id and text; head and links are NULL without a fingerprint or id."""
+def _prints(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None, away: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, text_hash, fp0, fp1, n, away)`` for each distinct document id and text: n rows have them; ``away`` tells whether the id is in that table."""
     prints = fingerprints(docs, id_col, text_col)
     if among is not None:
         prints = prints.join(among.select(col(among, id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    prints = stored(prints.distinct(), "simhash-prints")
-    groups = near_groups(prints, **options)
+    prints = prints.groupBy("doc_id", "text_hash", "fp0", "fp1").agg(F.count("*").alias("n"))
+    if away is None:
+        prints = prints.withColumn("away", F.lit(False))
+    else:
+        prints = prints.join(away.select("doc_id", F.lit(True).alias("away")).distinct(), "doc_id", "left").withColumn("away", F.coalesce("away", F.lit(False)))
+    return stored(prints, "simhash-prints")
+
+
+def _placed(prints: DataFrame, options: dict) -> DataFrame:
+    """``(doc_id, text_hash, n, away, head, links)`` for each row of ``prints``; head and links are NULL without a fingerprint or id, or where ``away``."""
+    groups = near_groups(prints.where("NOT away"), **options)
     a, b = prints.alias("a"), groups.alias("b")
-    on = (F.col("a.fp0") == F.col("b.fp0")) & (F.col("a.fp1") == F.col("b.fp1")) & F.col("a.doc_id").isNotNull()
-    return a.join(b, on, "left").select("a.doc_id", "a.text_hash", "b.head", "b.links")
+    on = (F.col("a.fp0") == F.col("b.fp0")) & (F.col("a.fp1") == F.col("b.fp1")) & F.col("a.doc_id").isNotNull() & ~F.col("a.away")
+    return a.join(b, on, "left").select("a.doc_id", "a.text_hash", "a.n", "a.away", "b.head", "b.links")
 
 
 def _own() -> Column:
@@ -218,7 +227,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     one row, and each text of an id is placed on its own.  Ids keep their type.  An empty table
     gives an empty one; very long texts are read whole; other columns are ignored, whatever their names.
     """
-    found = _placed(docs, id_col, text_col, {"max_distance": max_distance} | grid, among)
+    found = _placed(_prints(docs, id_col, text_col, among), {"max_distance": max_distance} | grid)
     return found.select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id")).alias("group_id"),
@@ -227,28 +236,33 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", away: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group; columns are unchanged.
 
     Rows that go are told by id and text together, so an id with several texts loses the copies among them only.
-    Rows that repeat an id and its text are one row in the result: the one that sorts first as JSON.  See :func:`decisions`
-    for NULLs and texts without words, all of which stay; an empty table stays empty.
+    Rows that repeat an id and its text are one row in the result: the one that sorts first as JSON.  Rows with an id in
+    ``away(doc_id)`` go and are compared with none.  See :func:`decisions` for NULLs and texts without words, all of which
+    stay; an empty table stays empty.  What goes is found without the texts, which then move once.
     """
-    found = _placed(docs, id_col, text_col, options)
-    gone = found.where(F.col("head") != _own()).select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    key, i, h = col(docs, id_col), *free(docs, "i", "h")
-    gone = gone.select(F.col("i").alias(i), F.col("h").alias(h)).distinct()
+    prints = _prints(docs, id_col, text_col, away=away)
+    goes = F.col("away") | F.coalesce(F.col("head") != _own(), F.lit(False))
+    found = _placed(prints, options).withColumn("goes", goes).where("doc_id IS NOT NULL AND (goes OR n > 1)")
     text = _text_hash(col(docs, text_col).cast("string"))
-    kept = docs.join(gone, (key == gone[i]) & (text == gone[h]), "left_anti")
-    twice = docs.where(key.isNotNull()).groupBy(key.alias(i), text.alias(h)).count().where("count > 1").select(F.col(i), F.col(h))
-    if not twice.limit(1).count():
-        return kept
-    same = (col(kept, id_col) == twice[i]) & _text_hash(col(kept, text_col).cast("string")).eqNullSafe(twice[h])
-    single = kept.join(twice, same, "left_anti")
-    row, n, m = F.struct(*cols(kept)), *free(docs, "row", "n")
-    first = (
-        kept.join(twice, same, "left_semi")
-        .groupBy(col(kept, id_col).alias(i), _text_hash(col(kept, text_col).cast("string")).alias(h))
-        .agg(F.min_by(row, F.to_json(row)).alias(n))
+    # A NULL text has a key too: equal keys, not null-safe ones, are what join and aggregation can share a shuffle by.
+    h, t, i, g, s, n, row = free(docs, "h", "t", "i", "g", "s", "n", "row")
+    rows = docs.select(*cols(docs), F.coalesce(text, F.lit(0).cast("long")).alias(h), text.isNull().alias(t))
+    told = (
+        found.select(F.col("doc_id").alias(i), F.coalesce("text_hash", F.lit(0).cast("long")).alias(g), F.col("text_hash").isNull().alias(s), "n", "goes")
+        .groupBy(i, g, s)
+        .agg(F.when(~F.max("goes"), F.sum("n")).alias(n))
     )
-    return single.unionByName(first.select(*[F.col(n).getField(c).alias(c) for c in docs.columns]))
+    same = (col(rows, id_col) == told[i]) & (rows[h] == told[g]) & (rows[t] == told[s])
+    if not prints.where("doc_id IS NOT NULL AND n > 1").limit(1).count():
+        return rows.join(told, same, "left_anti").select(*[col(rows, c) for c in docs.columns])
+    both = rows.join(told, same, "left")
+    single = both.where(told[i].isNull()).select(*[col(rows, c) for c in docs.columns])
+    whole = F.struct(*[col(rows, c) for c in docs.columns])
+    # Rows of a group have the same text: without it they sort the same.
+    short = F.struct(*[(F.when(col(rows, c).isNotNull(), F.lit("")) if c == text_col else col(rows, c)).alias(c) for c in docs.columns])
+    first = both.where(told[n].isNotNull()).groupBy(col(rows, id_col), rows[h], rows[t]).agg(F.min_by(whole, F.to_json(short)).alias(row))
+    return single.unionByName(first.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))

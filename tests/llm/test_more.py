@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -560,3 +561,43 @@ def test_pipeline_near_dedup_leaves_no_near_pair(spark, tmp_path):
     group, _ = groups(len(prints), [(i, j) for i, j in zip(*np.nonzero(far <= 17)) if i != j])
     want = {prints[g][0] for g in group}
     assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_pipeline_near_dedup_moves_texts_once(spark, tmp_path):
+    """A table that repeats rows and ids loses the right rows, and its texts aren't shuffled again and again for it."""
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    rows = []
+    for i in range(400):
+        own = [f"{rnd.getrandbits(64):x}" for _ in range(300)]
+        rows.append((i, " ".join(own), "en", "s", 0))
+        if i % 2:
+            rows.append((i, " ".join(own), "en", "s", 0))  # the same row
+            rows.append((i, " ".join(own), "de", "s", 0))  # the same id and text
+        if i % 5 == 0:
+            rows.append((i, " ".join(own[::-1] + [f"{rnd.getrandbits(256):x}" for _ in range(300)]), "en", "s", 0))  # another text
+        if i % 7 == 0:
+            rows.append((1000 + i, " ".join(own[:-1]), "en", "s", 0))  # a near copy
+    rows += [(None, rows[0][1], "en", "s", 0)] * 2 + [(3000, None, "en", "s", 0)] * 2 + [(3001, "", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def shuffled():
+        done = spark.sparkContext._jsc.sc()
+        done.listenerBus().waitUntilEmpty(30_000)
+        groups = done.statusStore().executorList(False)
+        return sum(groups.apply(k).totalShuffleWrite() for k in range(groups.size()))
+
+    before = shuffled()
+    out = corpus_pipeline.dedup_near(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r.lang) for r in out.collect())
+    moved = shuffled() - before
+    least = {}
+    for i, text, lang, *_ in rows:
+        if i is not None and not 1000 <= i < 3000:
+            least[i, text] = min(lang, least.get((i, text), lang))
+    want = Counter((i, text, lang) for (i, text), lang in least.items()) + Counter({(None, rows[0][1], "en"): 2})
+    assert got == want
+    assert moved < 1.6 * sum(len(r[1] or "") for r in rows), moved
