@@ -38,12 +38,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Line dedup leaves of a near copy the lines in which it differs, which resemble nothing any more.  So
     documents that are still there are compared as they came, whole, too: first the near copies among these go,
-    then those among the texts as they are now.  Rows with a NULL id or without words stay; of an id with several
-    texts all must be near copies for its rows to go by the first step.
+    then those among the texts as they are now.  Rows with a NULL id or without words stay; each text of an id
+    goes or stays on its own.
     """
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = simhash.decisions(whole, among=docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return simhash.near_dedup(docs, away=found.where("NOT kept").select("doc_id"))
+    return simhash.near_dedup(docs, away=simhash.copies_as_came(docs, whole))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def near_groups(prints: DataFrame, max_distance: int = 17, segment_bits: int = 1
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None, away: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, text_hash, fp0, fp1, n, away)`` for each distinct document id and text: n rows have them; ``away`` tells whether the id is in that table."""
+    """``(doc_id, text_hash, fp0, fp1, n, away)`` for each distinct document id and text: n rows have them; ``away`` tells whether both are in that table."""
     prints = fingerprints(docs, id_col, text_col)
     if among is not None:
         prints = prints.join(among.select(col(among, id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -200,7 +200,8 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None
     if away is None:
         prints = prints.withColumn("away", F.lit(False))
     else:
-        prints = prints.join(away.select("doc_id", F.lit(True).alias("away")).distinct(), "doc_id", "left").withColumn("away", F.coalesce("away", F.lit(False)))
+        gone = away.select("doc_id", "text_hash", F.lit(True).alias("away")).distinct()
+        prints = prints.join(gone, ["doc_id", "text_hash"], "left").withColumn("away", F.coalesce("away", F.lit(False)))
     return stored(prints, "simhash-prints")
 
 
@@ -236,12 +237,34 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
+def copies_as_came(docs: DataFrame, whole: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 17, **grid) -> DataFrame:
+    """``(doc_id, text_hash)`` of the texts of ``docs`` that go as near copies when all are compared as ``whole`` has them, before lines were dropped.
+
+    Only texts that are still there are compared, and of a group the least stays as in :func:`decisions`.  Of an id with several texts each
+    goes or stays on its own: a text that ``whole`` has with that id is that one, any other is what :func:`.lines.drop_lines` left
+    of the id's least text, the only one that loses lines.  NULL texts and ids and ids that ``whole`` lacks aren't in the result.
+    """
+    prints = _prints(whole, id_col, text_col, among=docs)
+    one = prints.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("text_hash").alias("only"))
+    now = slim(docs, id_col, text_col).select("doc_id", _text_hash(F.col("text")).alias("text_hash")).where("doc_id IS NOT NULL AND text_hash IS NOT NULL").distinct()
+    same = prints.select("doc_id", "text_hash", F.col("text_hash").alias("same"))
+    met = stored(now.join(same, ["doc_id", "text_hash"], "left").join(one, "doc_id"), "simhash-met")
+    # Written first, so that Spark has its size and needn't move all texts for a few ids.
+    several = stored(met.where("same IS NULL AND texts > 1").select("doc_id").distinct(), "simhash-several")
+    least = slim(whole, id_col, text_col).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(_text_hash(F.min("text")).alias("least"))
+    came = stored(met.join(least, "doc_id", "left").select("doc_id", "text_hash", F.coalesce("same", "least", "only").alias("came")), "simhash-came")
+    there = came.select("doc_id", F.col("came").alias("text_hash")).distinct()
+    found = _placed(prints.join(there, ["doc_id", "text_hash"], "left_semi"), {"max_distance": max_distance} | grid)
+    goes = found.where(F.col("head") != _own()).select("doc_id", F.col("text_hash").alias("came"))
+    return came.join(goes, ["doc_id", "came"], "left_semi").select("doc_id", "text_hash")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", away: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group; columns are unchanged.
 
     Rows that go are told by id and text together, so an id with several texts loses the copies among them only.
-    Rows that repeat an id and its text are one row in the result: the one that sorts first as JSON.  Rows with an id in
-    ``away(doc_id)`` go and are compared with none.  See :func:`decisions` for NULLs and texts without words, all of which
+    Rows that repeat an id and its text are one row in the result: the one that sorts first as JSON.  Rows with an id and text in
+    ``away(doc_id, text_hash)`` go and are compared with none.  See :func:`decisions` for NULLs and texts without words, all of which
     stay; an empty table stays empty.  What goes is found without the texts, which then move once.
     """
     prints = _prints(docs, id_col, text_col, away=away)

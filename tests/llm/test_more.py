@@ -563,6 +563,51 @@ def test_pipeline_near_dedup_leaves_no_near_pair(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, str(tmp_path)).collect()} == want
 
 
+def test_pipeline_near_dedup_places_each_text_of_an_id(spark, tmp_path):
+    """Ids with several texts, lines dropped before: no near pair of texts that are still there is left, and none goes for a text that isn't."""
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    text = lambda: [sentence(rnd, 12) for _ in range(8)]
+
+    def near(lines, k):
+        """One line has other words: line dedup leaves this line only."""
+        return [" ".join(w + "q" * (n % 3 == k % 3) for n, w in enumerate(x.split())) if at == k % 8 else x for at, x in enumerate(lines)]
+
+    texts = []
+    for i in range(40):
+        own = text()
+        texts += [(i, own), (200 + i, near(own, i)), (200 + i, text())]  # a near copy and another text
+        if i % 4 == 0:
+            texts.append((300 + i, near(own, i + 1)))  # a near copy alone
+        if i % 4 == 1:
+            # Line by line a copy of two texts, so it goes, and a near copy of it whose id is larger.
+            mixed = [a if k % 2 else b for k, (a, b) in enumerate(zip(own, texts[0][1]))]
+            texts += [(100 + i, mixed), (100 + i, text()), (400 + i, near(mixed, i))]
+    rows = [(i, "\n".join(x), str(k), "s", 0) for k, (i, x) in enumerate(texts)]  # lang tells rows apart
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    two = corpus_pipeline.dedup_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).persist()
+    changed = {r.lang: r.text for r in two.collect()}
+
+    def stay(present):
+        """Those that stay of (lang, id, text): the least of each group by all pairs."""
+        present = sorted((i, h, k) for k, i, h in present)
+        u = np.array([prints[h] for _, h, _ in present], np.int64).view(np.uint64)
+        far = np.bitwise_count(u[:, None] ^ u[None]).sum(2, dtype=int)
+        group, _ = groups(len(u), [(a, b) for a, b in zip(*np.nonzero(far <= 17)) if a != b])
+        return {present[g][2] for g in group}
+
+    everything = spark.createDataFrame([(0, t) for t in {r[1] for r in rows} | set(changed.values())], "doc_id long, text string")
+    hashes = {r.text: r.h for r in everything.select("text", F.xxhash64("text").alias("h")).collect()}
+    prints = {r.text_hash: (r.fp0, r.fp1) for r in simhash.fingerprints(everything).collect()}
+    first = stay([(k, i, hashes[t]) for i, t, k, *_ in rows if k in changed])
+    want = stay([(k, i, hashes[changed[k]]) for i, t, k, *_ in rows if k in first])
+    whole = {k: (i, t) for i, t, k, *_ in rows}
+    assert sum(k not in first and changed[k] != whole[k][1] and 200 <= whole[k][0] < 300 for k in changed) > 10
+    assert sum(k not in changed for k in whole) >= 3
+    assert {r.lang for r in corpus_pipeline.dedup_near(spark, two, str(tmp_path)).collect()} == want
+
+
 def test_pipeline_near_dedup_moves_texts_once(spark, tmp_path):
     """A table that repeats rows and ids loses the right rows, and its texts aren't shuffled again and again for it."""
     import corpus_pipeline
