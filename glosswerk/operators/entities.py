@@ -7,9 +7,10 @@ structs, from which four tables are made by ordinary aggregations.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from itertools import compress
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,7 +24,6 @@ from ..options import unicode_form
 
 _BLANKS = frozenset(" \t\n\r\x0b\x0c")
 _COUNTS = ("hits", "substitutions", "deletions", "insertions")
-_KIND = {"equal": 0, "substitute": 1, "delete": 2, "insert": 3}
 _STATS = "array<struct<definition_index:int,r:bigint,h:bigint,hits:bigint,substitutions:bigint,deletions:bigint,insertions:bigint,rate_sum:double,occurrences:bigint>>"
 _ERRORS = "array<struct<start:int,seq:int,type:string,definition_index:int,reference:string,hypothesis:string,substitutions:int,deletions:int,insertions:int>>"
 
@@ -79,10 +79,24 @@ def entity_definitions(entities, aliases: Mapping[str, str | Sequence[str]] | No
     return found, labelled
 
 
+class _Scored(dict):
+    """Whether a character counts; each is looked up once."""
+
+    def __init__(self, rm_punctuation: bool):
+        self.rm_punctuation = rm_punctuation
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = c not in _BLANKS and not (self.rm_punctuation and is_punctuation(c))
+        return found
+
+
+_SCORED = {x: _Scored(x) for x in (False, True)}
+
+
 def _scorable(text: str, rm_punctuation: bool) -> tuple[str, list[int]]:
     """The characters that count, and where they stood."""
-    at = [k for k, c in enumerate(text) if c not in _BLANKS and not (rm_punctuation and is_punctuation(c))]
-    return "".join(text[k] for k in at), at
+    own = list(map(_SCORED[bool(rm_punctuation)].__getitem__, text))
+    return "".join(compress(text, own)), list(compress(range(len(text)), own))
 
 
 def _mentions(text: str, compiled: list[re.Pattern], entities: list[Entity]) -> tuple[str, list[tuple[int, int, int, str]]]:
@@ -101,30 +115,30 @@ def _mentions(text: str, compiled: list[re.Pattern], entities: list[Entity]) ->
     return "".join(out) + text[since:], spans
 
 
-def _sentence(reference: str, hypothesis: str, entities: list[Entity], compiled: list[re.Pattern], rm_punctuation: bool, mode: str, form: str | None):
+def _sentence(reference: str, hypothesis: str, entities: list[Entity], compiled: list[re.Pattern], rm_punctuation: bool, mode: str, form: str | None, edits: bool = True):
     ref, ref_spans = _mentions(plain_text(reference, form), compiled, entities)
     hyp, hyp_spans = _mentions(plain_text(hypothesis, form), compiled, entities)
     if not ref_spans and not hyp_spans:
         return [], []
     stats: dict[int, list] = {}
     row = lambda k: stats.setdefault(k, [0, 0, 0, 0, 0, 0, 0.0, 0])
+    if not edits:
+        for side, spans in enumerate((ref_spans, hyp_spans)):
+            for k, *_ in spans:
+                row(k)[side] += 1
+        return [(k, *v) for k, v in sorted(stats.items())], []
     errors, reported = [], Counter()
     if ref_spans:
         shown, at = _scorable(ref, rm_punctuation)
-        heads = [s[1] for s in ref_spans]
-        place = [bisect_right(heads, x) - 1 for x in at]
-        place = [p if p >= 0 and at[k] < ref_spans[p][2] else -1 for k, p in enumerate(place)]
-        counts, texts = [[0] * 4 for _ in ref_spans], [["", ""] for _ in ref_spans]
-        for kind, a, b, index, position in edit.alignment(shown, _scorable(hyp, rm_punctuation)[0]):
-            if index is not None:
-                p = place[index]
-            else:  # an extra character is in a span only between two of its characters
-                p = place[position] if 0 < position < len(place) and place[position] == place[position - 1] else -1
-            if p >= 0:
-                counts[p][_KIND[kind]] += 1
-                texts[p][0] += a
-                texts[p][1] += b
-        for (k, start, _, _), c, (a, b) in zip(ref_spans, counts, texts):
+        other = _scorable(hyp, rm_punctuation)[0]
+        before, after = edit.places(shown, other)
+        for k, start, end, _ in ref_spans:
+            # An extra character is in a span only between two of its characters.
+            lo, hi = bisect_left(at, start), bisect_left(at, end)
+            a, b = shown[lo:hi], other[before[lo] : after[hi - 1]]
+            met = [x for x in range(lo, hi) if before[x] < after[x]]
+            hits = sum(shown[x] == other[before[x]] for x in met)
+            c = (hits, len(met) - hits, hi - lo - len(met), len(b) - len(met))
             own = row(k)
             own[0] += 1
             for x in range(4):
@@ -146,8 +160,8 @@ def _sentence(reference: str, hypothesis: str, entities: list[Entity], compiled:
     return [(k, *v) for k, v in sorted(stats.items())], [(e[0], n, *e[1:]) for n, e in enumerate(errors)]
 
 
-def sentence_scores(pairs: DataFrame, entities: list[Entity], rm_punctuation: bool, mode: str, form: str | None, key: str = "utterance_id") -> DataFrame:
-    """``(key, stats, errors)`` of each pair, and nothing of pairs without a mention."""
+def sentence_scores(pairs: DataFrame, entities: list[Entity], rm_punctuation: bool, mode: str, form: str | None, key: str = "utterance_id", edits: bool = True) -> DataFrame:
+    """``(key, stats, errors)`` of each pair, and nothing of pairs without a mention; without ``edits`` mentions are counted only."""
     stat_names = [x.split(":")[0] for x in _STATS.removeprefix("array<struct<").removesuffix(">>").split(",")]
     error_names = [x.split(":")[0] for x in _ERRORS.removeprefix("array<struct<").removesuffix(">>").split(",")]
 
@@ -158,7 +172,7 @@ def sentence_scores(pairs: DataFrame, entities: list[Entity], rm_punctuation: bo
             for n, (r, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if r is None or h is None:
                     raise TypeError("references and hypotheses must be text")
-                a, b = _sentence(r, h, entities, compiled, rm_punctuation, mode, form)
+                a, b = _sentence(r, h, entities, compiled, rm_punctuation, mode, form, edits)
                 if a:
                     keys.append(n)
                     stats.append([dict(zip(stat_names, x)) for x in a])
@@ -180,36 +194,51 @@ def _statistics(mode: str) -> list[Column]:
     ]
 
 
-def evaluate_entities(pairs: DataFrame, entities, josa_list=None, eomi_list=None, rm_punctuation: bool = True, *, aliases=None, rate_mode: str = "normalized", unicode_normalization: str | None = None, key: str = "utterance_id") -> dict[str, DataFrame]:
-    """The tables ``entities``, ``labels``, ``summary`` and ``errors``.
+def _sums(scores: DataFrame) -> DataFrame:
+    s = scores.select(F.explode("stats").alias("s")).select("s.*")
+    return s.groupBy("definition_index").agg(
+        F.sum("r").alias("reference_count"), F.sum("h").alias("hypothesis_count"), F.sum(F.least("r", "h")).alias("true_positives"),
+        F.sum(F.greatest(F.col("h") - F.col("r"), F.lit(0))).alias("false_positives"), F.sum(F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("false_negatives"),
+        *[F.sum(c).alias(c) for c in _COUNTS], F.sum("rate_sum").alias("rate_sum"), F.sum("occurrences").alias("occurrences"),
+    )
+
+
+def _by_key(pairs: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """Pairs in ranges of their keys: what is made of them is in order once each part is sorted, and only the texts are read twice.
+
+    The number of parts is given, as by their bytes too much work would be put into one.
+    """
+    spark = pairs.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartitionByRange(parts or least, F.col(key).cast("long"))
+
+
+def evaluate_entities(pairs: DataFrame, entities, josa_list=None, eomi_list=None, rm_punctuation: bool = True, *, aliases=None, rate_mode: str = "normalized", unicode_normalization: str | None = None, key: str = "utterance_id", parts: int | None = None) -> dict[str, DataFrame]:
+    """The tables ``entities``, ``labels``, ``summary``, ``errors`` and ``mentions``, which is ``entities`` without what needs an alignment.
 
     ``summary`` has the micro rate as ``cer`` and ``macro``, the mean over reference mentions (0
-    without any).  ``errors`` is in order of ``sentence_index``, ``start``, ``type`` and ``seq``.
+    without any).  ``errors`` is in order of ``sentence_index``, ``start``, ``type`` and ``seq``,
+    made in so many ``parts`` of near as many pairs, by default as many as a shuffle has.
     """
     mode, form = resolve_mode(rate_mode), unicode_form(unicode_normalization)
     defs, labelled = entity_definitions(entities, aliases, josa_list, eomi_list, rm_punctuation, form)
     spark = pairs.sparkSession
     dim = spark.createDataFrame([(k, e.name, e.label, list(e.aliases)) for k, e in enumerate(defs)], "definition_index int, name string, label string, aliases array<string>")
-    scores = sentence_scores(pairs, defs, rm_punctuation, mode, form, key)
-    s = scores.select(F.explode("stats").alias("s")).select("s.*")
-    sums = (
-        s.groupBy("definition_index").agg(
-            F.sum("r").alias("reference_count"), F.sum("h").alias("hypothesis_count"), F.sum(F.least("r", "h")).alias("true_positives"),
-            F.sum(F.greatest(F.col("h") - F.col("r"), F.lit(0))).alias("false_positives"), F.sum(F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("false_negatives"),
-            *[F.sum(c).alias(c) for c in _COUNTS], F.sum("rate_sum").alias("rate_sum"), F.sum("occurrences").alias("occurrences"),
-        )
-    )
+    scores = lambda of, **o: sentence_scores(of, defs, rm_punctuation, mode, form, key, **o)
+    sums = _sums(scores(pairs))
     names = sums.columns[1:]
-    full = dim.join(sums, "definition_index", "left").na.fill(0, names)
+    filled = lambda found: dim.join(found, "definition_index", "left").na.fill(0, names)
+    full = filled(sums)
     total = [F.sum(c).alias(c) for c in names]
     macro = rates.share(F.col("rate_sum"), F.col("occurrences")).alias("macro")
     out = {
         "entities": full.select("definition_index", "name", "label", "aliases", *_statistics(mode)),
         "summary": full.agg(*total).select(*_statistics(mode), macro),
-        "errors": scores.select(F.col("key").alias("sentence_index"), F.explode("errors").alias("e")).select("sentence_index", "e.*")
+        "mentions": filled(_sums(scores(pairs, edits=False))).select("definition_index", "name", "label", "aliases", *_statistics(mode)[:9]),
+        "errors": scores(_by_key(pairs, key, parts)).select(F.col("key").alias("sentence_index"), F.explode("errors").alias("e")).select("sentence_index", "e.*")
         .join(F.broadcast(dim.select("definition_index", F.col("name").alias("entity"), "label")), "definition_index")
         .select("sentence_index", "start", "type", "seq", "entity", "label", "reference", "hypothesis", "substitutions", "deletions", "insertions")
-        .orderBy("sentence_index", "start", "type", "seq"),
+        .sortWithinPartitions("sentence_index", "start", "type", "seq"),
     }
     if labelled:
         out["labels"] = full.groupBy("label").agg(F.min("definition_index").alias("position"), *total).select("label", "position", *_statistics(mode))

@@ -34,11 +34,26 @@ def _spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = _spread(spark.read.parquet(f"{d}/conversations.parquet"))
+#: Rows of a task, at most on average: an alignment takes far more time than its texts have bytes, and bytes that repeat hardly count in a file.
+TASK_ROWS = 4096
+
+
+def _parts(table: DataFrame) -> int:
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet")
+
+
+def _turn_pairs(t: DataFrame) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance_id"), F.col("text").alias("reference"), _with_errors(F.col("text")).alias("hypothesis"))
 
 
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _turn_pairs(_spread(turns(spark, d)))
+
+
 def item_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/benchmark.parquet")
     return t.select(F.col("item_id").alias("utterance_id"), F.col("text").alias("reference"), _with_errors(F.col("text")).alias("hypothesis"))
@@ -201,6 +216,11 @@ def _entities(pairs: DataFrame, table: str) -> DataFrame:
     return entities.evaluate_entities(pairs, ENTITIES, aliases=ALIASES)[table]
 
 
+def _entity_errors(t: DataFrame) -> DataFrame:
+    n = _parts(t)
+    return entities.evaluate_entities(_turn_pairs(t.repartition(n)), ENTITIES, aliases=ALIASES, parts=n)["errors"]
+
+
 def _entity_mentions(pairs: DataFrame) -> DataFrame:
     e = entities.evaluate_entities(pairs, {k: v for k, v in ENTITIES.items()})["entities"]
     return e.select("name", "label", "reference_count", "hypothesis_count", "true_positives", "false_positives", "false_negatives", "precision", "recall", "f1")
@@ -234,7 +254,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entity_scores": lambda s, d: _entities(t(s, d), "entities").drop("aliases"),
         "entity_labels": lambda s, d: _entities(t(s, d), "labels"),
         "entity_summary": lambda s, d: _entities(t(s, d), "summary"),
-        "entity_errors": lambda s, d: _entities(t(s, d), "errors"),
+        "entity_errors": lambda s, d: _entity_errors(turns(s, d)),
         "entity_scores_items": lambda s, d: _entities(b(s, d), "entities").drop("aliases"),
         "entity_labels_items": lambda s, d: _entities(b(s, d), "labels"),
         "entity_summary_items": lambda s, d: _entities(b(s, d), "summary"),

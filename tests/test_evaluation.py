@@ -368,3 +368,13 @@ def test_queries_have_names_in_common():
 
     assert set(q.oracle_sql()) <= set(q.queries())
     assert set(q.queries()) - set(q.oracle_sql()) == {"entity_scores", "entity_labels", "entity_summary", "entity_errors"}
+
+
+def test_errors_are_ordered_without_a_second_alignment(spark):
+    """Alignment comes after the shuffle into ranges of keys, which samples its input first; the rows read are in order all the same."""
+    rows = [(97 * k % 400, "kato mira lu kato", "kat mirra kato") for k in range(400)]
+    errors = g.evaluate_entities(spark.createDataFrame(rows, PAIR).repartition(5), ["kato", "mira", "lu"], parts=7)["errors"]
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("MapInArrow") < plan.index("RepartitionByExpression") and plan.count("MapInArrow") == 1
+    got = [tuple(r) for r in errors.collect()]
+    assert got == sorted(got, key=lambda r: r[:4]) and {r[0] for r in got} == set(range(400)) and len(got) == 400 * len([r for r in got if not r[0]])
