@@ -28,12 +28,6 @@ def _with_errors(ref):
     return F.replace(F.replace(hyp, F.lit(" de "), F.lit(" ")), F.lit(" of "), F.lit(" of of "))
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores, in as many parts as cores: alignment takes far more time than its texts have bytes."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 #: Rows of a task, at most on average: an alignment takes far more time than its texts have bytes, and bytes that repeat hardly count in a file.
 TASK_ROWS = 4096
 
@@ -51,7 +45,9 @@ def _turn_pairs(t: DataFrame) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _turn_pairs(_spread(turns(spark, d)))
+    """In parts of near as many rows: files may be few, and hold groups of rows that no scan splits."""
+    t = turns(spark, d)
+    return _turn_pairs(t.repartition(_parts(t)))
 
 
 def item_pairs(spark: SparkSession, d: str) -> DataFrame:

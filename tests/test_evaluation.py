@@ -378,3 +378,15 @@ def test_errors_are_ordered_without_a_second_alignment(spark):
     assert 0 <= plan.index("MapInArrow") < plan.index("RepartitionByExpression") and plan.count("MapInArrow") == 1
     got = [tuple(r) for r in errors.collect()]
     assert got == sorted(got, key=lambda r: r[:4]) and {r[0] for r in got} == set(range(400)) and len(got) == 400 * len([r for r in got if not r[0]])
+
+
+def test_turns_are_spread_by_rows(spark, tmp_path):
+    """However rows lie in files: as many files as cores, one of which has nearly all rows."""
+    from glosswerk.plans import queries
+
+    for k, n in enumerate((40_000, *[3] * 15)):
+        rows = spark.range(n).select((F.col("id") + 100_000 * k).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("the and of the").alias("text"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    for pairs in (queries.turn_pairs(spark, str(tmp_path)),):
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_045 and max(sizes) <= 1.5 * queries.TASK_ROWS
