@@ -218,7 +218,7 @@ def _entity_errors(t: DataFrame) -> DataFrame:
 
 
 def _entity_mentions(pairs: DataFrame) -> DataFrame:
-    e = entities.evaluate_entities(pairs, {k: v for k, v in ENTITIES.items()})["entities"]
+    e = entities.evaluate_entities(pairs, {k: v for k, v in ENTITIES.items()})["mentions"]
     return e.select("name", "label", "reference_count", "hypothesis_count", "true_positives", "false_positives", "false_negatives", "precision", "recall", "f1")
 
 

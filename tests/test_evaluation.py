@@ -390,3 +390,20 @@ def test_turns_are_spread_by_rows(spark, tmp_path):
     for pairs in (queries.turn_pairs(spark, str(tmp_path)),):
         sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 40_045 and max(sizes) <= 1.5 * queries.TASK_ROWS
+
+
+def test_mentions_need_no_alignment(spark, monkeypatch):
+    import re
+
+    from glosswerk.operators import entities
+
+    rows = [(k, r, h) for k, (r, h) in enumerate([("kato mira", "kato kato"), ("lu lu", "lu"), ("xo", "mira"), ("xo", "")])]
+    out = g.evaluate_entities(spark.createDataFrame(rows, PAIR), {"a": ["kato"], "b": ["mira", "lu", "none"]})
+    want = {r.name: r for r in out["entities"].collect()}
+    got = out["mentions"].collect()
+    assert len(got) == 4 and all(r[c] == want[r.name][c] for r in got for c in out["mentions"].columns)
+    defs, _ = entities.entity_definitions(["kato", "mira", "lu"])
+    compiled = [re.compile(d.pattern) for d in defs]
+    whole = [entities._sentence(r, h, defs, compiled, True, "normalized", None)[0] for _, r, h in rows]
+    monkeypatch.setattr(edit, "places", None)
+    assert [[x[:3] for x in entities._sentence(r, h, defs, compiled, True, "normalized", None, edits=False)[0]] for _, r, h in rows] == [[x[:3] for x in own] for own in whole]
