@@ -407,3 +407,31 @@ def test_mentions_need_no_alignment(spark, monkeypatch):
     whole = [entities._sentence(r, h, defs, compiled, True, "normalized", None)[0] for _, r, h in rows]
     monkeypatch.setattr(edit, "places", None)
     assert [[x[:3] for x in entities._sentence(r, h, defs, compiled, True, "normalized", None, edits=False)[0]] for _, r, h in rows] == [[x[:3] for x in own] for own in whole]
+
+
+def sentence_rows(count, length):
+    import random
+
+    rnd = random.Random(11)
+    refs = ["".join(rnd.choice("etaoin shrdlu") for _ in range(length)) for _ in range(count)]
+    return [(r, "".join(rnd.choice((c, c, c, c, c, c, c, c, "", c + "x", "y")) for c in r)) for r in refs]
+
+
+def test_rows_as_numbers_and_in_bands_agree(monkeypatch):
+    import time
+
+    some = [*sentence_rows(40, 60), *sentence_rows(20, 700), ("ab" * 40, "ba" * 37), ("가나다 é\U0001f600", "나다 \U0001f600e"), ("x" * 90, "y"), ("", "y"), ("y", "")]
+    lists = [(a.split(), b.split()) for a, b in some]
+
+    def found():
+        began = time.process_time()
+        out = edit.counts_of(some + lists), [edit.alignment(a, b) for a, b in some + lists]
+        return out, time.process_time() - began
+
+    numbers, short = found()
+    monkeypatch.setattr(edit, "_STEPS", 1)
+    banded, long = found()
+    assert numbers == banded and short * 2 < long
+    for (a, b), steps in zip(some, numbers[1]):
+        before, after = edit.places(a, b)
+        assert [(x[0], x[3]) for x in steps if x[0] == "delete"] == [("delete", j) for j in range(len(a)) if before[j] == after[j]]
